@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, simhash
+from codeloom.llm import bpe, sharding, simhash, token_store
 from codeloom.llm.common import table
 
 
@@ -26,6 +26,17 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_store.shared_folder(spark)
+    token_store.write(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), folder, end=2)
+    return token_store.read(spark, folder)
+
+
+def op10_byte_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shards(table(spark, sf_dir, "documents"), 24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
