@@ -40,16 +40,21 @@ def prepare(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder of spark.checkpoint.dir (reliable, not executor-local).
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's own folder in spark.checkpoint.dir, which all executors share.
 
-    The cluster names the folder; only where it names none, as in local tests, a
+    The cluster names that folder; only where it names none, as in local tests, a
     temporary one is set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint, one that outlives executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

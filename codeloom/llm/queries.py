@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, quality_classifier, quality_rules, sharding, simhash, token_store
+from codeloom.llm import bpe, chat_format, decontam, license_scan, quality_classifier, quality_rules, sharding, simhash, token_store, url_filter
 from codeloom.llm.common import table
 
 
@@ -21,6 +21,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return url_filter.judge(pages, url_filter.train(url_filter.weak_labels(pages)))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_classifier.score(docs, quality_classifier.train(docs, table(spark, sf_dir, "labels")))
@@ -35,6 +40,22 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_chat_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen, rejected = chat_format.echo_pairs(table(spark, sf_dir, "conversations"))
+    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    pairs = chat_format.preferences(chosen, rejected)
+    return pairs.select("pair_id", "n_prompt_turns", *[F.sha2(F.col(c), 256).alias(f"{c}_sha256") for c in ("prompt", "chosen", "rejected")], trained("chosen_spans").alias("chosen_trained"), trained("rejected_spans").alias("rejected_trained"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"), "best_license", "best_dice")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_store.shared_folder(spark)
     token_store.write(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), folder, end=2)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, partitions, prepare
+from codeloom.llm.common import checkpoint_folder, partitions, prepare
 
 MAGIC = b"CLTOK01\0"
 #: Ids from which a block is closed; a block ends with a whole document.
@@ -241,5 +241,4 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder beside the checkpoints, which all executors see."""
-    checkpointed(spark.range(0))  # sets a folder where none is named
-    return f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/tokens-{uuid.uuid4().hex}"
