@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.llm.common import checkpointed, prepare
 from codeloom.llm.components import connected_components
@@ -154,7 +155,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     prepare(spark)
     classes = checkpointed(near_duplicates(docs).select("fp", "component", "component_id").distinct())
-    schema = docs.schema.add("__fp", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
     rows = docs.mapInArrow(_row_hash_batches, schema)
     classes = classes.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__component_id"))
     kept = rows.join(classes, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component_id")))
