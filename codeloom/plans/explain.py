@@ -50,17 +50,18 @@ def branches(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
     Each belongs to the scope around it that starts last, else to its file.
     """
-    found = lines.withColumn("b", text.branch(F.col("code"))).where("b is not null").select("file_path", "line", "b.kind", "b.condition")
+    found = lines.withColumn("t", text.trim(F.col("code"))).withColumn("b", text.branch(F.col("t"))).where("b is not null").select("file_path", "line", "b.kind", "b.condition")
     owned = latest_scopes(found.select("file_path", "line"), symbols, ("file_path", "line"))
     return found.join(owned, ["file_path", "line"], "left").select("file_path", "line", "kind", "condition", F.coalesce("owner_name", "file_path").alias("function_name"))
 
 
 def line_steps(lines: DataFrame) -> DataFrame:
     """(file_path, line, source, label): what each line does, the first form that fits."""
-    code = F.col("code")
-    assigned, call, back = text.assignment(code), text.side_effect(code), text.returned(code)
-    source = F.when(assigned.isNotNull(), F.when(text.is_state(assigned), "state").otherwise("assignment")).when(call.isNotNull(), "call").when(back.isNotNull(), "return")
-    return lines.select("file_path", "line", source.alias("source"), F.coalesce(assigned, call, back).alias("label"))
+    t = F.col("t")
+    trimmed = lines.select("file_path", "line", text.trim(F.col("code")).alias("t"))
+    parts = trimmed.select("file_path", "line", text.assignment(t).alias("a"), text.side_effect(t).alias("c"), text.returned(t).alias("r"))
+    source = F.when(F.col("a").isNotNull(), F.when(text.is_state(F.col("a")), "state").otherwise("assignment")).when(F.col("c").isNotNull(), "call").when(F.col("r").isNotNull(), "return")
+    return parts.select("file_path", "line", source.alias("source"), F.coalesce("a", "c", "r").alias("label"))
 
 
 def step_rank(source: Column) -> Column:

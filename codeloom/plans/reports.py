@@ -77,10 +77,10 @@ def snippet(root: str, path: str, line: int, context: int = 0) -> dict[str, Any]
 
 
 def snippets(lines: DataFrame, sites: DataFrame, context: int) -> DataFrame:
-    """lines(file_path, line, code), sites(file_path, at) -> (file_path, at, start_line, end_line, code)."""
-    near = lines.join(sites, "file_path").where((F.col("line") >= F.col("at") - context) & (F.col("line") <= F.col("at") + context))
-    found = near.groupBy("file_path", "at").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sort_array(F.collect_list(F.struct("line", "code"))).alias("rows"), F.max((F.col("line") == F.col("at")).cast("int")).alias("there"))
-    return found.where("there = 1").select("file_path", "at", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["code"]), "\n").alias("code"))
+    """lines(file_path, line, code), sites(file_path, site) -> (file_path, site, start_line, end_line, code)."""
+    near = lines.join(sites, "file_path").where((F.col("line") >= F.col("site") - context) & (F.col("line") <= F.col("site") + context))
+    found = near.groupBy("file_path", "site").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sort_array(F.collect_list(F.struct("line", "code"))).alias("rows"), F.max((F.col("line") == F.col("site")).cast("int")).alias("there"))
+    return found.where("there = 1").select("file_path", "site", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["code"]), "\n").alias("code"))
 
 
 def viewer_graph(graph: Graph) -> tuple[DataFrame, DataFrame]:
