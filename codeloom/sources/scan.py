@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from urllib.parse import quote
+import re
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,17 +13,40 @@ from codeloom.functions import paths
 from codeloom.sources.config import Config
 
 
+def _root(root: str) -> str:
+    return root.rstrip("/") if "://" in root else os.path.realpath(root)
+
+
 def _binary(spark: SparkSession, root: str) -> DataFrame:
-    where = os.path.realpath(root) if "://" not in root else root.rstrip("/")
+    where = _root(root)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where)
-    # Paths come back as URIs, with what URIs escape.
-    uri = quote(where, safe="/-_.~!$&'()*+,;=:@") if "://" not in where else where
-    relative = F.regexp_replace(F.col("path"), f"^(file:/*)?/?{_regex(uri.lstrip('/'))}/", "")
-    return files.withColumn("path", F.url_decode(F.replace(relative, F.lit("+"), F.lit("%2B"))))
+    plain = re.escape(where.removeprefix("file:").lstrip("/"))
+    return files.withColumn("path", F.regexp_replace("path", f"^(file:/*|/+)?{plain}/+", ""))
 
 
-def _regex(text: str) -> str:
-    return "".join("\\" + c if not c.isalnum() and c not in "/_" else c for c in text)
+def _blank(spark: SparkSession, root: str) -> DataFrame:
+    """Files without content, which Spark's readers pass over: (path, length, modificationTime).
+
+    Only these are listed on the driver; they are few and carry a name and a time.
+    """
+    jvm, where = spark._jvm, _root(root)
+    top = jvm.org.apache.hadoop.fs.Path(where)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = fs.makeQualified(top).toString().rstrip("/") + "/"
+    rows = []
+    if "://" in where:
+        listed = fs.listFiles(top, True)
+        while listed.hasNext():
+            one = listed.next()
+            if one.getLen() == 0:
+                rows.append((one.getPath().toString().removeprefix(prefix), 0, datetime.fromtimestamp(one.getModificationTime() / 1000, timezone.utc)))
+    else:
+        for folder, _, names in os.walk(where):
+            for name in names:
+                at = os.path.join(folder, name)
+                if os.path.isfile(at) and (found := os.stat(at)).st_size == 0:
+                    rows.append((os.path.relpath(at, where).replace(os.sep, "/"), 0, datetime.fromtimestamp(found.st_mtime, timezone.utc)))
+    return spark.createDataFrame(rows, "path string, length long, modificationTime timestamp")
 
 
 def scan(spark: SparkSession, root: str, config: Config) -> DataFrame:
@@ -31,7 +55,8 @@ def scan(spark: SparkSession, root: str, config: Config) -> DataFrame:
     A file below an excluded directory is excluded whatever its own path is. The listing
     carries no content.
     """
-    files = _binary(spark, root).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
+    listed = _binary(spark, root).select("path", "length", "modificationTime").unionByName(_blank(spark, root))
+    files = listed.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"))
     return files.where(_wanted(config)).orderBy(F.expr("path COLLATE UNICODE"))
 
 
@@ -42,6 +67,7 @@ def _wanted(config: Config):  # noqa: ANN202
 
 def read_texts(spark: SparkSession, root: str, config: Config) -> DataFrame:
     """scan() with text and content_hash, the SHA-256 of the text."""
-    files = _binary(spark, root).where(_wanted(config))
+    blank = _blank(spark, root).withColumn("content", F.lit(b""))
+    files = _binary(spark, root).unionByName(blank).where(_wanted(config))
     text = F.decode("content", "utf-8")
     return files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("modified_at"), text.alias("text"), F.sha2(text, 256).alias("content_hash"))
