@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import sys
-import tempfile
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from codeloom.session import checkpoint_folder, checkpointed, ship
+
+__all__ = ["BATCH_ROWS", "checkpoint_folder", "checkpointed", "partitions", "prepare", "table"]
+
 #: Rows of one Arrow batch: whole texts are held per batch, so memory follows this.
 BATCH_ROWS = 256
-_SHIPPED: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,38 +21,7 @@ def prepare(spark: SparkSession) -> None:
     conf = spark.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    root = Path(__file__).resolve().parents[2]
-    app = spark.sparkContext.applicationId
-    on_path = [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(":") if p]
-    if app in _SHIPPED or str(root) in on_path:
-        return
-    package = Path(__file__).resolve().parents[1]
-    to = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
-    with zipfile.ZipFile(to, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    before = list(sys.path)
-    spark.sparkContext.addPyFile(str(to))
-    sys.path[:] = before  # the driver keeps importing from the checkout
-    _SHIPPED.add(app)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The session's own folder in spark.checkpoint.dir, which all executors share.
-
-    The cluster names that folder; only where it names none, as in local tests, a
-    temporary one is set.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint, one that outlives executors."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ship(spark)
 
 
 def partitions(df: DataFrame) -> int:

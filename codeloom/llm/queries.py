@@ -71,5 +71,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+_WORD = r"[^\x20\x09-\x0D]+"
+_OP1 = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d),
+lines AS (SELECT doc_id, count(*) AS n, count(DISTINCT line) AS once, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*•]')) AS bullets FROM l WHERE regexp_matches(line, '{_WORD}') GROUP BY doc_id),
+win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d)),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM win) WHERE c > 1),
+covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word FROM d),
+per AS (SELECT doc_id, sum(len(word)) AS chars, count(*) FILTER (regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') AND strlen(word) > 1) AS caps, count(*) FILTER (regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS lettered FROM words GROUP BY doc_id),
+top AS (SELECT doc_id, max(c) AS c FROM (SELECT doc_id, word, count(*) AS c FROM words GROUP BY ALL) GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(w) AS n_words, coalesce(chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n - once, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(caps, 0) AS caps, coalesce(lettered, 0) AS lettered, coalesce(top.c, 0) AS most
+  FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN top USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * caps <= 3 * n_words AND 10 * most <= 3 * n_words AND 10 * lettered >= 6 * n_words AND 10 * bullets <= 9 * n_lines AS kept
+FROM base"""
+_OP7 = """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, role AS r, coalesce(text, '') AS text, row_number() OVER w AS pos, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+last AS (SELECT conv_id, max(pos) FILTER (r = 'assistant') AS p FROM t GROUP BY conv_id),
+sides AS (SELECT t.conv_id, role, pos, text AS c, CASE WHEN pos = p THEN coalesce(before, '') ELSE text END AS r FROM t JOIN last USING (conv_id)),
+cut AS (SELECT conv_id, coalesce(min(pos) FILTER (c <> r), max(pos) + 1) AS d FROM sides GROUP BY conv_id),
+parts AS (SELECT conv_id, pos, d, role, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS cr, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rr, length(c) + 7 AS cn, length(r) + 7 AS rn FROM sides JOIN cut USING (conv_id))
+SELECT conv_id AS pair_id, d - 1 AS n_prompt_turns,
+  sha256(coalesce(string_agg(cr, '' ORDER BY pos) FILTER (pos < d), '')) AS prompt_sha256,
+  sha256(coalesce(string_agg(cr, '' ORDER BY pos) FILTER (pos >= d), '')) AS chosen_sha256,
+  sha256(coalesce(string_agg(rr, '' ORDER BY pos) FILTER (pos >= d), '')) AS rejected_sha256,
+  coalesce(sum(cn) FILTER (pos >= d AND role = 'assistant'), 0) AS chosen_trained,
+  coalesce(sum(rn) FILTER (pos >= d AND role = 'assistant'), 0) AS rejected_trained
+FROM parts GROUP BY conv_id, d"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Trained models, hashes, merges and differencing have no SQL; tests hold those to brute force."""
+    return {"op1_quality_rules": _OP1, "op7_chat_preferences": _OP7}
