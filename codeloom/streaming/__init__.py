@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from codeloom.model import SCHEMAS
 from codeloom.plans.project import build
 from codeloom.session import checkpointed
 from codeloom.sources import store
 from codeloom.sources.parsers.registry import parse_files
 
-__all__ = ["SCHEMAS", "merge_batch", "sync_stream"]
+__all__ = ["merge_batch", "sync_stream"]
 
 
 def merge_batch(batch: DataFrame, folder: str) -> None:
