@@ -11,7 +11,6 @@ one group's size, and the driver combines the units, k numbers each.
 from __future__ import annotations
 
 import heapq
-import zlib
 from collections.abc import Iterator
 
 import numpy as np

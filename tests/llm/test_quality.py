@@ -2,7 +2,6 @@ import random
 import re
 
 import numpy as np
-import pytest
 from codeloom.llm import quality_classifier as qc
 from codeloom.llm import quality_rules as qr
 from codeloom.llm import trees
