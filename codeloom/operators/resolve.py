@@ -29,7 +29,8 @@ def enclosing_scopes(sites: DataFrame, symbols: DataFrame, keys: Sequence[str] =
     Of scopes of one file with start_line <= line <= end_line: the smallest span, then the
     latest start, then the first symbol. Sites without one are dropped. Instead of all
     pairs of a file, scopes are dealt into blocks of lines as long as they are (two at
-    most) and sites look into one block of each size, so a long file stays linear.
+    most) and sites look into one block of each size that their file has, so a long file
+    stays linear.
     """
     span = F.col("end_line") - F.col("start_line")
     # The block size is the least power of two above the span.
@@ -39,8 +40,8 @@ def enclosing_scopes(sites: DataFrame, symbols: DataFrame, keys: Sequence[str] =
     )
     blocks = F.expr("sequence(shiftright(bigint(start_line), level), shiftright(bigint(end_line), level))")
     dealt = scopes.withColumn("block", F.explode(blocks))
-    levels = F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))
-    looks = sites.withColumn("level", levels).withColumn("block", F.expr("shiftright(bigint(line), level)"))
+    sizes = scopes.select("file_path", "level").distinct()  # a handful for each file
+    looks = sites.join(sizes, "file_path").withColumn("block", F.expr("shiftright(bigint(line), level)"))
     met = looks.join(dealt, ["file_path", "level", "block"]).where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
     rank = F.struct((F.col("end_line") - F.col("start_line")).alias("a"), (-F.col("start_line")).alias("b"), F.col("start_column").alias("c"), F.col("src_id").alias("d"))
     best = met.groupBy(*keys).agg(F.min_by(F.struct("src_id", "src_name"), rank).alias("best"))

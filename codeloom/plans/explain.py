@@ -34,7 +34,8 @@ def ranked_entrypoints(symbols: DataFrame, all_symbols: DataFrame, calls: DataFr
     some = symbols.where(F.col("kind").isin("function", "method"))
     mine = calls.join(some.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
     external = external_callers(all_symbols, mine)
-    scored = some.join(external, "id", "left").join(callee_counts(calls), "id", "left").withColumn("external", F.coalesce("external", F.lit(0))).withColumn("call_out", F.coalesce("call_out", F.lit(0)))
+    out = callee_counts(calls.join(some.select(F.col("id").alias("src_id")), "src_id", "left_semi"))
+    scored = some.join(external, "id", "left").join(out, "id", "left").withColumn("external", F.coalesce("external", F.lit(0))).withColumn("call_out", F.coalesce("call_out", F.lit(0)))
     scored = scored.withColumn("score", 3 * F.col("external") + F.col("call_out"))
     return scored.orderBy(F.desc("score"), F.desc("external"), F.desc("call_out"), "start_line", "qualified_name", "id").limit(limit)
 
