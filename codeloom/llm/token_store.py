@@ -17,13 +17,15 @@ values up to u takes about n * (2 + log2(u / n)) bits; a sampled select table an
 
 from __future__ import annotations
 
-import re
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -129,39 +131,76 @@ class Block:
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
 
-#: Python takes these four for blanks, the library doesn't.
-_ODD = re.compile("[\x1c-\x1f]").search
-_PIECES = re.compile("[^ \t\n\r]+").findall
-_LOADED: dict[str, tuple] = {}
+#: A letter, one of these and a blank: the library cuts between the first two.
+_STOP = r"([A-Za-z])([.,;:!?])([ \n]|$)"
+#: Pieces kept with their ids in a worker; beyond that they are forgotten.
+CACHE_PIECES = 800_000
 
 
-def _encoder(path: str) -> tuple:
-    """The library's tokenizer, and ids known of white-space-delimited pieces."""
-    from tokenizers import Tokenizer
+class PieceEncoder:
+    """The library's tokenizer over pieces between blanks, with what it said of them.
 
-    if path not in _LOADED:
-        t = Tokenizer.from_file(path)
-        t.no_truncation()
-        t.no_padding()
-        _LOADED[path] = (t, {})
-    return _LOADED[path]
+    For tokenizers that drop white space and case, whose words never cross white space or
+    go from letters to punctuation: the library encodes each distinct piece once, and
+    whole texts are put together from that. Cutting, lower-casing A-Z and finding distinct
+    pieces are Arrow's kernels.
+    """
 
+    def __init__(self, path: str) -> None:
+        # A task has one core; threads of its own would only take turns on it.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        #: Special tokens are found before case is dropped, so texts that would only look like them afterwards keep theirs.
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.known: dict[str, bytes] = {}
+
+    def pieces(self, texts: pa.Array) -> pa.Array:
+        """Each text's pieces, which join to the text but for blanks and case."""
+        low = pc.ascii_lower(texts)
+        for token in self.special:
+            if pc.any(pc.match_substring(low, token)).as_py():
+                low = texts
+                break
+        return pc.ascii_split_whitespace(pc.replace_substring_regex(low, _STOP, r"\1 \2\3"))
+
+    def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
+        """The library's ids of each text, and then end."""
+        if not texts:
+            return []
+        if len(self.known) > CACHE_PIECES:
+            self.known.clear()
+        known = self.known
+        lists = self.pieces(pa.array(texts, pa.string()))
+        distinct = lists.flatten().dictionary_encode()
+        names = distinct.dictionary.to_pylist()
+        fresh = [p for p in names if p not in known]
+        # The fast form leaves out offsets, which nothing here asks for.
+        known.update(zip(fresh, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]))
+        found = [known[p] for p in names]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), np.uint32)
+        at = distinct.indices.to_numpy()
+        lengths = sizes[at]
+        stops = np.cumsum(lengths)
+        first = (np.cumsum(sizes) - sizes)[at] - (stops - lengths)
+        flat = ids[np.repeat(first, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
+        ends = np.append(0, stops)[lists.offsets.to_numpy()].tolist()
+        tail = [] if end is None else [np.array([end], np.uint32)]
+        return [np.concatenate([flat[a:b], *tail]) if tail else flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
+_LOADED: dict[str, PieceEncoder] = {}
 
-def encode_texts(path: str, texts: list[str], end: int | None) -> list[np.ndarray]:
-    """The library's ids of each text, and then end.
 
-    For tokenizers that drop white space and whose words never cross it: pieces between
-    blanks are encoded by the library once and their ids joined.
-    """
-    tokenizer, known = _encoder(path)
-    if len(known) > 600_000:
-        known.clear()
-    pieces = [_PIECES(t) if _ODD(t) else t.split() for t in texts]
-    fresh = list({p for ps in pieces for p in ps if p not in known})
-    for p, e in zip(fresh, tokenizer.encode_batch(fresh, add_special_tokens=False)):
-        known[p] = np.array(e.ids, np.uint32).tobytes()
-    tail = b"" if end is None else np.array([end], np.uint32).tobytes()
-    return [np.frombuffer(b"".join([known[p] for p in ps]) + tail, np.uint32) for ps in pieces]
+def encode_texts(path: str, texts: list[str], end: int | None) -> list[np.ndarray]:
+    """PieceEncoder.encode() with the tokenizer of a path, loaded once a worker."""
+    if path not in _LOADED:
+        _LOADED[path] = PieceEncoder(path)
+    return _LOADED[path].encode(texts, end)
 
 
 def write(docs: DataFrame, path: str, folder: str, end: int | None = None) -> None:
