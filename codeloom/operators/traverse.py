@@ -39,12 +39,15 @@ def search(seeds: DataFrame, edges: DataFrame, origin: str, far: str, depth: int
     """
     if depth < 1:
         raise ValueError("depth must be a positive integer")
-    usable = edges.distinct() if far_nodes is None else edges.distinct().join(far_nodes.select(F.col("id").alias(far)), far, "left_semi").select(*edges.columns)
     frontier = seeds.select("id").distinct()
     visited = frontier
     met: list[DataFrame] = []
     for level in range(depth):
-        step = usable.join(frontier.select(F.col("id").alias(origin)), origin, "left_semi").select(*edges.columns)
+        # The frontier goes first: what is left of the edges is small.
+        step = edges.join(frontier.select(F.col("id").alias(origin)), origin, "left_semi")
+        if far_nodes is not None:
+            step = step.join(far_nodes.select(F.col("id").alias(far)), far, "left_semi")
+        step = step.select(*edges.columns)
         if cut:
             step = checkpointed(step)
         met.append(step)
@@ -97,7 +100,7 @@ def dependents(seeds: DataFrame, requires: DataFrame, depth: int, cut: bool = Tr
     """
     if depth < 1:
         raise ValueError("depth must be a positive integer")
-    usable = requires.where("src_path <> dst_path").distinct()
+    usable = requires.where("src_path <> dst_path")
     frontier = seeds.select(F.col("path").alias("root"), "path").distinct()
     visited = frontier
     met: list[DataFrame] = []
