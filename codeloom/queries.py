@@ -520,10 +520,10 @@ def step_dedup_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.ordered_steps(steps.select("file_path", F.col("line").alias("seq"), "source", (F.col("line") % 9).alias("line"), "label"), ("file_path",)).select("file_path", "order", "source", "line", "label")
 
 
-@offered("SELECT p_partkey AS i, ['a', 'b' || p_partkey, 'c'] AS names FROM part")
+@offered("SELECT p_partkey AS i, 'a,b' || p_partkey || ',c' AS names FROM part")
 def parameter_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = F.concat(F.lit("function f(a: string, b"), F.col("p_partkey").cast("string"), F.lit(" = 1 , , c?: {x}) {"))
-    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), text.parameters(header).alias("names"))
+    return B.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("i"), F.array_join(text.parameters(header), ",").alias("names"))
 
 
 # The graph for viewers.
