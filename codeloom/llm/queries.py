@@ -80,7 +80,7 @@ win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM
 again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS c FROM win) WHERE c > 1),
 covered AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS at FROM again) GROUP BY doc_id),
 words AS (SELECT doc_id, unnest(w) AS word FROM d),
-per AS (SELECT doc_id, sum(len(word)) AS chars, count(*) FILTER (regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') AND strlen(word) > 1) AS caps, count(*) FILTER (regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS lettered FROM words GROUP BY doc_id),
+per AS (SELECT doc_id, CAST(sum(len(word)) AS BIGINT) AS chars, count(*) FILTER (regexp_matches(word, '[A-Z]') AND NOT regexp_matches(word, '[a-z]') AND strlen(word) > 1) AS caps, count(*) FILTER (regexp_matches(word, '[A-Za-z]|[^\x00-\x7F]')) AS lettered FROM words GROUP BY doc_id),
 top AS (SELECT doc_id, max(c) AS c FROM (SELECT doc_id, word, count(*) AS c FROM words GROUP BY ALL) GROUP BY doc_id),
 base AS (SELECT d.doc_id, len(w) AS n_words, coalesce(chars, 0) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(lines.n - once, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words, coalesce(lines.n, 0) AS n_lines, coalesce(bullets, 0) AS bullets, coalesce(caps, 0) AS caps, coalesce(lettered, 0) AS lettered, coalesce(top.c, 0) AS most
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN covered USING (doc_id) LEFT JOIN per USING (doc_id) LEFT JOIN top USING (doc_id))
@@ -97,8 +97,8 @@ SELECT conv_id AS pair_id, d - 1 AS n_prompt_turns,
   sha256(coalesce(string_agg(cr, '' ORDER BY pos) FILTER (pos < d), '')) AS prompt_sha256,
   sha256(coalesce(string_agg(cr, '' ORDER BY pos) FILTER (pos >= d), '')) AS chosen_sha256,
   sha256(coalesce(string_agg(rr, '' ORDER BY pos) FILTER (pos >= d), '')) AS rejected_sha256,
-  coalesce(sum(cn) FILTER (pos >= d AND role = 'assistant'), 0) AS chosen_trained,
-  coalesce(sum(rn) FILTER (pos >= d AND role = 'assistant'), 0) AS rejected_trained
+  CAST(coalesce(sum(cn) FILTER (pos >= d AND role = 'assistant'), 0) AS BIGINT) AS chosen_trained,
+  CAST(coalesce(sum(rn) FILTER (pos >= d AND role = 'assistant'), 0) AS BIGINT) AS rejected_trained
 FROM parts GROUP BY conv_id, d"""
 
 
