@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from codeloom.llm.common import checkpointed, prepare
 from codeloom.llm.components import connected_components
@@ -56,13 +55,15 @@ def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(fps)], ["doc_id", "text_key", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp as a signed long with the fingerprint's bits; null texts count as empty."""
+    """(doc_id, text_key, fp): fp as a signed long with the fingerprint's bits, text_key a
+    hash that tells rows of one id but different texts apart. Null texts count as empty."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_hash_batches, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_key"))
+    return rows.mapInArrow(_hash_batches, "doc_id long, text_key long, fp long")
 
 
 def _segment(fp: Column, i: int) -> Column:
@@ -124,7 +125,7 @@ def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, fp, component, component_id).
+    """docs(doc_id, text) -> (doc_id, text_key, fp, component, component_id).
 
     component is the least fingerprint reachable, component_id the least doc_id there.
     Null and word-less texts share fingerprint 0 and link like any other; repeated rows
@@ -136,32 +137,31 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
     classes = distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
     ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    return hashed.join(classes.join(ids, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "fp", "component", "component_id")
-
-
-def _row_hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").cast(pa.binary()).to_pylist()
-        fps = np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], [*batch.schema.names, "__fp"])
+    named = classes.join(ids, "component").select("fp", "component", "component_id")
+    return hashed.join(named, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, the one with the least doc_id; all columns of docs.
+    """One row of each component, one with the least doc_id; all columns of docs.
 
-    Rows that repeat the kept id within a component are one row. A component whose ids
-    are all null keeps one row.
+    Of rows with that id but different texts the least text_key stays, of repeated rows
+    any one. A component whose ids are all null keeps one row. Rows are told apart by
+    (doc_id, text_key), so no join meets all copies of a text at one key.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    classes = checkpointed(near_duplicates(docs).select("fp", "component", "component_id").distinct())
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
-    rows = docs.mapInArrow(_row_hash_batches, schema)
-    classes = classes.select(F.col("fp").alias("__fp"), F.col("component").alias("__component"), F.col("component_id").alias("__component_id"))
-    kept = rows.join(classes, "__fp").where(F.col("doc_id").eqNullSafe(F.col("__component_id")))
-    repeated = checkpointed(kept.groupBy("__component").agg(F.count("*").alias("__n")).where("__n > 1").select("__component"))
+    near = checkpointed(near_duplicates(docs))
+    own = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("row")).select("row.*")
+    repeated = checkpointed(near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"))
+    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
+
+    def matching(keys: DataFrame, how: str) -> DataFrame:
+        k = keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
+        return rows.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), how)
+
+    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
     if repeated.isEmpty():
-        return kept.select(*docs.columns)
-    once = kept.join(repeated, "__component", "left_anti")
-    one = kept.join(repeated, "__component", "left_semi").dropDuplicates(["__component"])
-    return once.unionByName(one).select(*docs.columns)
+        return matching(kept, "left_semi").select(*docs.columns)
+    several = kept.alias("a").join(repeated.alias("b"), both, "left_semi")
+    once = kept.alias("a").join(repeated.alias("b"), both, "left_anti")
+    one = matching(several, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return matching(once, "left_semi").unionByName(one).select(*docs.columns)
