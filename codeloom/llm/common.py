@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codeloom.session import checkpoint_folder, checkpointed, ship
 
-__all__ = ["BATCH_ROWS", "checkpoint_folder", "checkpointed", "partitions", "prepare", "table"]
+__all__ = ["BATCH_ROWS", "about", "checkpoint_folder", "checkpointed", "partitions", "prepare", "table"]
 
 #: Rows of one Arrow batch: whole texts are held per batch, so memory follows this.
 BATCH_ROWS = 256
@@ -24,5 +25,17 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
+def about(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of the least hashes of key, about twice rows of them, or all if they are fewer.
+
+    What a top-k by that hash then takes from every task stays bounded in sum, however
+    many tasks there are. One count comes first.
+    """
+    share = 2 * rows / max(1, df.count())
+    if share >= 1:
+        return df
+    return df.where(F.xxhash64(key) < F.lit(int(share * (1 << 64)) - (1 << 63)).cast("long"))
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import trees
-from codeloom.llm.common import prepare
+from codeloom.llm.common import about, prepare
 
 #: Rules by default: verdict by host and path.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -144,7 +144,8 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
 
     Null URLs or labels don't count; of several labels of a URL the majority does.
     """
-    votes = labelled.select("url", F.col("unwanted").cast("int")).dropna().groupBy("url").agg((F.avg("unwanted") > 0.5).cast("int").alias("unwanted"))
+    known = labelled.select("url", F.col("unwanted").cast("int")).dropna()
+    votes = about(known, "url", rows).groupBy("url").agg((F.avg("unwanted") > 0.5).cast("int").alias("unwanted"))
     got = sorted((r[0], r[1]) for r in votes.orderBy(F.xxhash64("url"), "url").limit(rows).collect())
     return fit([u for u, _ in got], [y for _, y in got])
 
