@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm import trees
-from codeloom.llm.common import prepare
+from codeloom.llm.common import about, prepare
 from codeloom.llm.quality_rules import Text, capital_words, lettered_words
 
 #: Labelled documents that training reads at most: those of the least hashed ids.
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleEns
     quality. Without labelled documents every score is one half.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna().where(~held_out(F.col("id")))
-    votes = known.groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
+    votes = about(known, "id", rows).groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     # At most `rows` rows, so the broadcast is bounded whatever the tables hold.
     sample = votes.orderBy(F.xxhash64("id"), "id").limit(rows).withColumnRenamed("quality", "__quality")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -124,3 +124,14 @@ def test_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, r in rows.items())
     test = [(rows[r["doc_id"]]["predicted"], r["quality"]) for r in labels.collect() if rows[r["doc_id"]]["held_out"]]
     assert len(test) > 20 and sum(p == q for p, q in test) / len(test) >= 0.95
+
+
+def test_least_hashes_are_those_of_all(spark):
+    from codeloom.llm.common import about
+    from pyspark.sql import functions as F
+
+    ids = spark.range(20_000).toDF("id")
+    top = lambda df: [r[0] for r in df.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
+    some = about(ids, "id", 300)
+    assert top(some) == top(ids) and 300 < some.count() < 1200
+    assert about(ids, "id", 10_000).count() == 20_000 and about(ids.limit(0), "id", 5).count() == 0
