@@ -13,8 +13,11 @@ document's windows of n words are compared with the items of that size:
    few differing places.
 3. Tables sample places of the embeddings; a window and an item with equal samples in
    some table are a candidate. The number of walks is set at build time, by edits planted
-   in the items, to reach the target recall at the largest distance allowed.
-4. Candidates are verified by the exact edit distance of the item to the best stretch of
+   in the items, so that each size reaches the target recall at the largest distance
+   allowed, for each kind of edit alone and for all mixed.
+4. Sizes that the walks don't bring there have no walks: every item that shares as many
+   word pairs with a window as the bound of 1. asks of it is a candidate, which loses none.
+5. Candidates are verified by the exact edit distance of the item to the best stretch of
    the words around the window.
 """
 
@@ -36,6 +39,8 @@ SIMILARITY = 0.8
 MIN_WORDS = 5
 #: Sampled places of a table, tables of a walk, walks at most, and the recall aimed at.
 PLACES, TABLES, WALKS, RECALL = 3, 4, 12, 0.95
+#: Edited items of a size and a kind of edit (all mixed, or one alone) that recall is measured on.
+PLANTED, KINDS = 64, ((0, 1, 2), (0,), (1,), (2,))
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 8 << 20
 _WORDS = re.compile(r"\w+").findall
@@ -93,10 +98,14 @@ class Index:
         # Places are fractions of the walk, so that they mean the same at every size.
         self.places = rng.random((WALKS, TABLES, PLACES)) * 0.85
         self.walks = WALKS
-        self.walks = self._calibrated(rng, recall)
+        needed = self._calibrated(rng, recall)
+        self.walked, self.walks = set(needed), max(needed.values(), default=0)
+        # Of sizes without walks, the items that have each pair: those of pair p are at
+        # first[p] to first[p + 1].
+        self.having = {n: self._having(n) for n in self.sizes if n not in self.walked}
         # Items in one numbering, and the sorted keys of all in each table.
-        self.names = [(n, i) for n in self.sizes for i in range(len(self.ids[n]))]
-        keys = [self._embed(self.items[n], np.full(len(self.items[n]), n)) for n in self.sizes]
+        self.names = [(n, i) for n in self.sizes if n in self.walked for i in range(len(self.ids[n]))]
+        keys = [self._embed(self.items[n], np.full(len(self.items[n]), n)) for n in self.sizes if n in self.walked]
         self.keys = [self._sorted(np.concatenate(k)) for k in zip(*keys)]
 
     @staticmethod
@@ -127,27 +136,35 @@ class Index:
                 out.append(key)
         return out
 
-    def _calibrated(self, rng: np.random.Generator, recall: float) -> int:
-        """Walks until so many of the items edited as much as allowed share a key with themselves."""
-        hits = np.zeros(WALKS)
-        total = 0
+    def _having(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        pairs = np.searchsorted(self.pairs, self.items[n][:, :-1] * self.pad + self.items[n][:, 1:]) + 1
+        each = np.unique(np.stack([pairs.ravel(), np.repeat(np.arange(len(pairs)), n - 1)], axis=1), axis=0)
+        return np.searchsorted(each[:, 0], np.arange(len(self.pairs) + 2)), each[:, 1]
+
+    def _calibrated(self, rng: np.random.Generator, recall: float) -> dict[int, int]:
+        """Of each size that gets there, the walks until so many of the items edited as much
+        as allowed share a key with themselves, by the kind of edit that needs most.
+
+        Walks stray further the longer they are: sizes above the first that misses aren't tried.
+        """
+        out: dict[int, int] = {}
         for n in self.sizes:
-            rows = self.items[n][:8]
-            edited = np.array([self._edited(r, self.edits[n], rng) for r in rows for _ in range(4)], np.int64).reshape(-1, n)
-            sizes = np.full(len(edited), n)
-            a, b = self._embed(np.repeat(rows, 4, axis=0), sizes), self._embed(edited, sizes)
-            same = np.stack([x == y for x, y in zip(a, b)])
+            rows = self.items[n][np.resize(rng.permutation(len(self.items[n])), PLANTED)]
+            edited = np.array([self._edited(r, self.edits[n], rng, kinds) for kinds in KINDS for r in rows], np.int64)
+            a, b = self._embed(rows, np.full(len(rows), n)), self._embed(edited, np.full(len(edited), n))
+            same = np.stack([np.tile(x, len(KINDS)) == y for x, y in zip(a, b)])
             met = np.logical_or.accumulate(same.reshape(WALKS, TABLES, -1).any(axis=1), axis=0)
-            hits += met.sum(axis=1)
-            total += met.shape[1]
-        enough = np.flatnonzero(hits >= recall * total)
-        return int(enough[0]) + 1 if len(enough) else WALKS
+            enough = np.flatnonzero(met.reshape(WALKS, len(KINDS), -1).mean(axis=2).min(axis=1) >= recall)
+            if not len(enough):
+                break
+            out[n] = int(enough[0]) + 1
+        return out
 
-    def _edited(self, row: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
+    def _edited(self, row: np.ndarray, edits: int, rng: np.random.Generator, kinds: tuple[int, ...] = KINDS[0]) -> np.ndarray:
         out = row.tolist()
         for _ in range(edits):
             at = int(rng.integers(0, max(1, len(out))))
-            kind = int(rng.integers(0, 3))
+            kind = kinds[int(rng.integers(0, len(kinds)))]
             if kind == 0 and out:
                 out[at] = 0
             elif kind == 1 and out:
@@ -191,6 +208,9 @@ class Index:
             # A window may stand out of its document by as many words as may be missing.
             inside = at + n <= ends[doc] + k
             at, doc = at[inside], doc[inside]
+            if n not in self.walked:
+                self._look_all(flat, pairs, at, doc, n, starts, ends, own)
+                continue
             windows.setdefault(n.bit_length(), []).append((at, doc, n))
         for group in windows.values():
             at, doc = np.concatenate([x[0] for x in group]), np.concatenate([x[1] for x in group])
@@ -232,6 +252,31 @@ class Index:
                 if distance <= k:
                     found[d][(n, place_in)] = min(distance, found[d].get((n, place_in), distance))
 
+    def _look_all(self, flat: np.ndarray, pairs: np.ndarray, at: np.ndarray, doc: np.ndarray, n: int, starts: np.ndarray, ends: np.ndarray, found: list[dict]) -> None:
+        """The edit distance of every item of n words to the words around those of the
+        windows that share as many pairs with it as a match needs."""
+        if not len(at):
+            return
+        k, needed = self.edits[n], self.needed[n]
+        first, having = self.having[n]
+        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) > n) | (np.diff(doc) > 0)) + 1):
+            own, d = at[run], int(doc[run[0]])
+            here = pairs[own[0] : own[-1] + n - 1]
+            # Every pair in the run, once for each item that has it.
+            counts = first[here + 1] - first[here]
+            counts[here == 0] = 0
+            place = np.repeat(np.arange(len(here)), counts)
+            item = having[np.repeat(first[here] - np.cumsum(counts) + counts, counts) + np.arange(len(place))]
+            shared = np.bincount(item, minlength=len(self.ids[n]))
+            for i in np.flatnonzero(shared >= needed).tolist():
+                count = np.cumsum(np.append(0, np.bincount(place[item == i], minlength=len(here))))
+                near = own[count[own - own[0] + n - 1] - count[own - own[0]] >= needed]
+                if len(near):
+                    low, high = max(int(near[0]) - k, int(starts[d])), min(int(near[-1]) + n + k, int(ends[d]))
+                    distance = int(infix_distance(self.items[n][i], flat[None, low:high])[0])
+                    if distance <= k:
+                        found[d][(n, i)] = min(distance, found[d].get((n, i), distance))
+
 
 def _laid(docs: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents behind one another with gap unknown words after each, their starts and ends."""

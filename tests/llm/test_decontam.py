@@ -103,3 +103,30 @@ def test_frames(spark, bench):
     assert blocks[50] == [3, 4]
     assert D.scan(documents(spark, EMPTY), items).count() == 0
     assert not any(r["contaminated"] for r in D.scan(docs, items.limit(0)).collect())
+
+
+@pytest.mark.parametrize("mixed", [True, False])
+def test_recall_of_every_size(mixed):
+    """Of mixed edits and of deletions alone, as many as may be."""
+    rng = random.Random(9)
+    items = [(i, " ".join(words(rng, n))) for i, n in enumerate([20] * 12 + [60] * 12 + [250] * 6)]
+    index = D.Index(items)
+    hits = {}
+    for i, text in items:
+        item = text.split()
+        for _ in range(8):
+            out = edited(rng, item, len(item) // 5) if mixed else [item[w] for w in sorted(rng.sample(range(len(item)), len(item) - len(item) // 5))]
+            text = " ".join(["pre"] * 20 + out + ["post"] * 20)
+            hits.setdefault(len(item), []).append(i in [index.ids[n][k] for n, k in index.matches([text])[0]])
+    assert {n: sum(h) / len(h) >= 0.9 for n, h in hits.items()} == {20: True, 60: True, 250: True}
+
+
+def test_sizes_without_walks_lose_nothing():
+    rng = random.Random(10)
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(5, 14)))) for i in range(40)]
+    index = D.Index(items, recall=2)
+    assert not index.walked
+    texts = [" ".join(rng.choice("abcdefghz") for _ in range(rng.randrange(0, 60))) for _ in range(60)] + [t for _, t in items]
+    for text, got in zip(texts, index.matches(texts)):
+        slow = {(i, slow_distance(t.split(), text.split())) for i, t in items}
+        assert {(index.ids[n][k], d) for (n, k), d in got.items()} == {(i, d) for i, d in slow if d <= len(items[i][1].split()) // 5}
