@@ -1,18 +1,19 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Both sides are normalised to lower-case words. Segments of a document are compared: the
-whole text, its paragraphs, its lines, runs of lines that are mostly made of template
-bigrams, and stretches of a line that are wholly made of them. With a bigrams in a segment and b in a template, Dice is 2c / (a + b) with
-c <= min(a, b); so a template can reach a threshold t only if t / (2 - t) <= a / b <=
-(2 - t) / t, and a segment only if t / (2 - t) of its bigrams occur in some template.
-Both bounds prune before any comparison and lose nothing.
+Both sides are normalised to lower-case words. Every stretch of a document's words is
+compared, over line ends and with foreign words in it: of each template the stretch with
+the best Dice counts. With a bigrams in a stretch, b in a template and c in both, Dice is
+2c / (a + b) with c <= min(a, b). So a document can reach a threshold t only if it has
+t b / (2 - t) of the template's bigrams, and a stretch only if at most b (2 / t - 2) of its
+bigrams aren't the template's. Both bounds prune before any comparison and lose nothing.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,6 +71,11 @@ class Templates:
         self.sets = sorted(((n, b) for n, b in made if b), key=lambda x: len(x[1]))
         self.sizes = [len(b) for _, b in self.sets]
         self.all = frozenset(p for _, b in self.sets for p in b)
+        self.owners: dict[tuple[str, str], list[int]] = {}
+        for i, (_, b) in enumerate(self.sets):
+            for p in b:
+                self.owners.setdefault(p, []).append(i)
+        self.single = frozenset(a for a, b in self.all if not b)
         self.bound = threshold / (2 - threshold)
         self.most = self.sizes[-1] / self.bound if self.sizes else 0
 
@@ -90,51 +96,45 @@ class Templates:
         return out
 
     def scan(self, text: str) -> dict[str, float]:
-        """The best Dice of each licence over all segments of a text."""
-        found: dict[str, float] = {}
-
-        def look(words: list[str]) -> None:
-            for name, dice in self.matches(words).items():
-                found[name] = max(dice, found.get(name, 0.0))
-
-        whole: list[str] = []
-        paragraph: list[str] = []
-        run: list[str] = []
-        marks = 0
-        for line in text.lower().split("\n"):
-            words = _WORDS(line)
-            whole += words
-            if not line.strip():
-                look(paragraph)
-                paragraph = []
-                continue
-            paragraph += words
-            pairs = bigrams(words)
-            hits = len(pairs & self.all)
-            if hits and 2 * hits >= len(pairs):
-                look(words)
-                run += words
-                marks += 1
-                continue
-            if hits:
-                self._inside(words, look)
-            if marks > 1:
-                look(run)
-            run, marks = [], 0
-        if marks > 1:
-            look(run)
-        look(paragraph)
-        look(whole)
+        """The best Dice of each licence over all stretches of a text's words."""
+        words = normalised(text)
+        pairs = list(zip(words, words[1:]))
+        shared = Counter(i for p in self.all.intersection(pairs) for i in self.owners[p])
+        # A single word is a pair with nothing: a stretch of its own.
+        alone = self.single.intersection(words) if self.single else ()
+        found: dict[str, float] = {self.sets[i][0]: 1.0 for w in alone for i in self.owners[w, ""]}
+        for i, count in shared.items():
+            name, b = self.sets[i]
+            if count >= self.bound * len(b) - 1e-9 and found.get(name, 0.0) < 1.0:
+                dice = self._best(pairs, b)
+                if dice >= self.threshold:
+                    found[name] = max(dice, found.get(name, 0.0))
         return found
 
-    def _inside(self, words: list[str], look: Callable[[list[str]], None]) -> None:
-        """Look at the stretches of a line whose every word pair is a template's."""
-        start = 0
-        for i, pair in enumerate([*zip(words, words[1:]), None]):
-            if pair is None or pair not in self.all:
-                if i > start:
-                    look(words[start : i + 1])
-                start = i + 1
+    def _best(self, pairs: list[tuple[str, str]], b: frozenset[tuple[str, str]]) -> float:
+        """The best Dice of b and a stretch of pairs, if it reaches the threshold.
+
+        From right to left, the pairs from a place on are held in the order in which they
+        first come from there: the stretches that start at the place are its prefixes.
+        """
+        most = len(b) * (2 / self.threshold - 2) + 1e-9
+        best = 0.0
+        later: dict[tuple[str, str], None] = {}
+        for pair in reversed(pairs):
+            later.pop(pair, None)
+            later[pair] = None
+            if pair not in b:
+                continue
+            common = foreign = 0
+            for p in reversed(later):
+                if p in b:
+                    common += 1
+                    best = max(best, 2 * common / (common + foreign + len(b)))
+                else:
+                    foreign += 1
+                    if foreign > most:
+                        break
+        return best
 
 
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:

@@ -147,6 +147,31 @@ def test_scan_places():
     assert known.scan("the licence of the poet is permission to sing and so on") == {} == known.scan("")
 
 
+def test_notices_in_longer_text():
+    known = license_scan.Templates()
+    for tail in range(12):
+        assert known.scan("Released under the MIT License." + " w x y z u v r s t q p"[: 2 * tail]) == {"MIT": 1.0}
+    assert known.scan("Released under the MIT License. Copyright 2024 Jane Doe") == {"MIT": 1.0}
+    assert known.scan("this whole text was released under\nthe MIT License. and so on with more prose") == {"MIT": 1.0}
+    edited = "prose goes first here and then this work is licensed under the terms of the GNU Lesser General Public License, version 3 and prose goes on"
+    assert "LGPL-3.0" in known.scan(edited)
+
+
+def test_scan_equals_all_stretches():
+    rng = random.Random(11)
+    for threshold in (0.8, 0.5):
+        templates = tuple((n, " ".join(rng.choice("abcde") for _ in range(size))) for n, size in zip("STUVWX", (1, 2, 3, 5, 8, 12)))
+        known = license_scan.Templates(templates, threshold)
+        for _ in range(150):
+            words = [rng.choice("abcdefg") for _ in range(rng.randrange(0, 20))]
+            expected = {}
+            for n, t in templates:
+                dice = [slow_dice(" ".join(words[i:j]), t) for j in range(len(words) + 1) for i in range(j)]
+                if max(dice, default=0) >= threshold:
+                    expected[n] = max(dice)
+            assert known.scan(rng.choice(" \n").join(words)) == pytest.approx(expected)
+
+
 def test_license_frames(spark):
     rows = [*AWKWARD, (60, "a b\nReleased under the MIT License.\nLicensed under CC BY-NC 4.0.\nc")]
     got = {r["doc_id"]: r for r in license_scan.scan(documents(spark, rows)).collect()}
