@@ -23,7 +23,7 @@ from codeloom.llm.common import about, prepare
 #: Rules by default: verdict by host and path.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 #: Words that mark a host as unwanted where URLs come without labels.
-HOST_TERMS = ("adult", "bet", "bonus", "casino", "cheap", "click", "crack", "farm", "free", "gamble", "jackpot", "loan", "lottery", "pills", "poker", "porn", "prize", "replica", "spam", "torrent", "viagra", "warez", "win", "xxx")
+HOST_TERMS = ("ad", "adult", "advert", "advertising", "banner", "bet", "bonus", "casino", "cheap", "click", "crack", "farm", "free", "gamble", "jackpot", "loan", "lottery", "pills", "poker", "porn", "prize", "replica", "spam", "torrent", "track", "tracker", "tracking", "viagra", "warez", "win", "xxx")
 #: Labelled URLs that training reads at most: those of the least hash.
 TRAIN_ROWS = 20_000
 SUFFIXES = (1, 2, 3)
@@ -133,9 +133,9 @@ def fit(urls: list[str], unwanted: list[int]) -> UrlModel:
 
 
 def weak_labels(pages: DataFrame, terms: tuple[str, ...] = HOST_TERMS) -> DataFrame:
-    """pages(url) -> (url, unwanted), 1 where a part of the host between dots and dashes is a term."""
+    """pages(url) -> (url, unwanted), 1 where a part of the host between dots and dashes is a term or its plural."""
     parts = F.split(host_column(F.col("url")), "[.-]")
-    marked = F.arrays_overlap(parts, F.array(*map(F.lit, terms)))
+    marked = F.arrays_overlap(parts, F.array(*[F.lit(t + end) for t in terms for end in ("", "s", "es")]))
     return pages.where("url is not null").select(F.col("url").cast("string"), marked.cast("int").alias("unwanted"))
 
 

@@ -40,6 +40,12 @@ def test_urls(spark):
     assert url_filter.judge(pages.limit(0), url_filter.train(url_filter.weak_labels(pages.limit(0)))).count() == 0
 
 
+def test_weak_labels(spark):
+    hosts = {"m.ads-track.example.com": 1, "ads.example.net": 1, "big-bets.org": 1, "bonuses.example.org": 1, "tracker.example.com": 1, "free.example.com": 1, "news.example.com": 0, "glass.example.org": 0, "soundtracks.example.org": 0, "adsense.example.org": 0}
+    pages = spark.createDataFrame([(f"https://{h}/ads/x",) for h in hosts], "url string")
+    assert {r["url"].split("/")[2]: r["unwanted"] for r in url_filter.weak_labels(pages).collect()} == hosts
+
+
 def test_url_model_on_held_out(spark):
     rng = random.Random(0)
     name = lambda: "".join(rng.choices("thenrsaoi", k=rng.randrange(4, 9)))
