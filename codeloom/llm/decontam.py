@@ -43,10 +43,13 @@ PLACES, TABLES, WALKS, RECALL = 3, 4, 12, 0.95
 PLANTED, KINDS = 64, ((0, 1, 2), (0,), (1,), (2,))
 #: Characters of benchmark text that one pass over the documents looks for.
 BLOCK_CHARS = 8 << 20
-_WORDS = re.compile(r"\w+").findall
+#: Scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Bopomofo, Han, Yi.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+_WORDS = re.compile(rf"[{UNSPACED}]|[^\W{UNSPACED}]+").findall
 
 
 def words_of(text: str | None) -> list[str]:
+    """Runs of word characters; in scripts without spaces every character is a word."""
     return _WORDS((text or "").lower())
 
 

@@ -130,3 +130,11 @@ def test_sizes_without_walks_lose_nothing():
     for text, got in zip(texts, index.matches(texts)):
         slow = {(i, slow_distance(t.split(), text.split())) for i, t in items}
         assert {(index.ids[n][k], d) for (n, k), d in got.items()} == {(i, d) for i, d in slow if d <= len(items[i][1].split()) // 5}
+
+
+def test_scripts_without_spaces():
+    items = [(1, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"), (2, "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e0a\u0e32\u0e27\u0e42\u0e25\u0e01"), (3, "\u304d\u3087\u3046\u306f\u3068\u3066\u3082\u3044\u3044\u5929\u6c17")]
+    index = D.Index(items)
+    found = index.matches([f"\u524d{text}\u5f8c and more" for _, text in items] + ["plain words in a row here"])
+    assert [[index.ids[n][k] for n, k in f] for f in found] == [[1], [2], [3], []]
+    assert D.words_of("Caf\u00e9 x_1 \u5929\u6c14ok") == ["caf\u00e9", "x_1", "\u5929", "\u6c14", "ok"]
