@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from codeloom.session import checkpoint_folder, checkpointed, ship
 
-__all__ = ["BATCH_ROWS", "about", "checkpoint_folder", "checkpointed", "partitions", "prepare", "table"]
+__all__ = ["BATCH_ROWS", "checkpoint_folder", "checkpointed", "free_prefix", "least_keys", "over_texts", "packed", "partitions", "prepare", "quoted", "spread_join", "table"]
 
 #: Rows of one Arrow batch: whole texts are held per batch, so memory follows this.
 BATCH_ROWS = 256
@@ -25,16 +29,64 @@ def prepare(spark: SparkSession) -> None:
     ship(spark)
 
 
-def about(df: DataFrame, key: str, rows: int) -> DataFrame:
-    """Rows of the least hashes of key, about twice rows of them, or all if they are fewer.
+def least_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Rows of the `rows` distinct keys with the least hashes, or of all if they are fewer.
+
+    Null keys don't count. A first pass counts the distinct keys, within a few hundredths,
+    and a cut at twice the share asked for bounds in sum what all tasks hand to the top-k;
+    however often keys repeat, the result is the same set of keys.
+    """
+    known = df.where(F.col(key).isNotNull())
+    share = 2 * rows / max(1, known.agg(F.approx_count_distinct(key, 0.02)).first()[0])
+    keys = known.select(key)
+    if share < 1:
+        keys = keys.where(F.xxhash64(key) < F.lit(int(share * (1 << 64)) - (1 << 63)).cast("long"))
+    chosen = keys.distinct().orderBy(F.xxhash64(key), key).limit(rows)
+    # At most `rows` keys, so the broadcast is bounded whatever the table holds.
+    return known.join(F.broadcast(chosen), key)
+
+
+#: A key with more than this share of all rows is hot; there are at most 1/share of them.
+HOT_SHARE = 1 / 1024
+
 
-    What a top-k by that hash then takes from every task stays bounded in sum, however
-    many tasks there are. One count comes first.
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """rows joined to values (one row a key) with no hot key in one task.
+
+    counts(*keys, n) says how many rows each key has. The values of hot keys, 1,024 at
+    most, are broadcast to the rows wherever those lie; the others meet by shuffle, none of
+    them with more than HOT_SHARE of the rows. Keys are not null.
     """
-    share = 2 * rows / max(1, df.count())
-    if share >= 1:
-        return df
-    return df.where(F.xxhash64(key) < F.lit(int(share * (1 << 64)) - (1 << 63)).cast("long"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = checkpointed(counts.where(F.col("n") > max(1000.0, total * HOT_SHARE)).select(*keys).join(values, keys))
+    if hot.isEmpty():
+        return rows.join(values, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values, keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(rest)
+
+
+def over_texts(docs: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: tuple[T.StructField, ...] = ()) -> DataFrame:
+    """docs.mapInArrow(run), whatever the columns are called: run's batches have "text" under
+    its name and the others under names of their places, and more columns come last."""
+    names = [c if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)]
+    fields = [T.StructField(n, f.dataType) for n, f in zip(names, docs.schema.fields)]
+    return docs.toDF(*names).mapInArrow(run, T.StructType([*fields, *more])).toDF(*docs.columns, *[f.name for f in more])
+
+
+def packed(docs: DataFrame) -> Column:
+    """All columns of docs as one struct, whatever they are called; `name.*` unpacks them."""
+    return F.struct(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def free_prefix(docs: DataFrame, prefix: str) -> str:
+    """prefix, lengthened until no column of docs starts with it."""
+    while any(c.lower().startswith(prefix.lower()) for c in docs.columns):
+        prefix = f"_{prefix}"
+    return prefix
 
 
 def partitions(df: DataFrame) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from codeloom.llm import trees
-from codeloom.llm.common import about, prepare
+from codeloom.llm.common import free_prefix, least_keys, over_texts, prepare, quoted
 from codeloom.llm.quality_rules import Text, capital_words, lettered_words
 
 #: Labelled documents that training reads at most: those of the least hashed ids.
@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 #: Weight of the L1 penalty, and of rules below which they go.
 PENALTY, LEAST_WEIGHT = 0.002, 1e-3
 
+#: What columns of statistics start with, unless the documents have such columns.
+PREFIX = "__stat_"
 STATISTICS = ("log_words", "mean_word", "symbol_rate", "pipe_rate", "capital_rate", "exclaim_rate", "dup_line_rate", "repeat_rate", "letter_rate", "digit_rate", "line_words", "distinct_rate", "top_word_rate", "stop_line_rate", "log_longest")
 
 
@@ -61,17 +63,17 @@ def _named(prefix: str) -> list[str]:
     return [f"{prefix}{s}" for s in STATISTICS]
 
 
-def with_statistics(docs: DataFrame, prefix: str = "__stat_") -> DataFrame:
+def with_statistics(docs: DataFrame, prefix: str = PREFIX) -> DataFrame:
     """All columns of docs and the statistics of its text."""
     prepare(docs.sparkSession)
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(s, T.DoubleType()) for s in _named(prefix))])
+    names = _named(prefix)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([statistics(x) for x in batch.column("text").cast(pa.binary()).to_pylist()], np.float64).reshape(-1, len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T)], [*batch.schema.names, *_named(prefix)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, found.T)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return over_texts(docs, run, tuple(T.StructField(n, T.DoubleType()) for n in names))
 
 
 @dataclass(frozen=True)
@@ -81,7 +83,7 @@ class RuleEnsemble:
     bias: float = 0.0
     rules: tuple[tuple[float, tuple[tuple[int, bool, float], ...]], ...] = ()
 
-    def column(self, prefix: str = "__stat_") -> Column:
+    def column(self, prefix: str = PREFIX) -> Column:
         """The score as a column expression over the statistics."""
         margin = F.lit(self.bias)
         for weight, tests in self.rules:
@@ -135,18 +137,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> RuleEnsemble:
-    """Learn from labels(doc_id, quality) outside the test fold, at most rows of them.
+    """Learn from labels(doc_id, quality) outside the test fold, at most rows documents: those
+    of the least hashed ids.
 
-    Null labels don't count; of several labels of a document the majority does, ties are
-    quality. Without labelled documents every score is one half.
+    Null labels and ids don't count; of several labels of a document the majority does, ties
+    are quality; of several texts of an id the one with the least statistics does. Without
+    labelled documents every score is one half.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality")).dropna().where(~held_out(F.col("id")))
-    votes = about(known, "id", rows).groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    # At most `rows` rows, so the broadcast is bounded whatever the tables hold.
-    sample = votes.orderBy(F.xxhash64("id"), "id").limit(rows).withColumnRenamed("quality", "__quality")
+    votes = least_keys(known, "id", rows).groupBy("id").agg((F.avg("quality") >= 0.5).cast("int").alias("__quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = with_statistics(texts.join(F.broadcast(sample), F.col("doc_id") == F.col("id")).select("doc_id", "text", "__quality"))
-    got = sorted(tuple(r) for r in found.select("doc_id", *_named("__stat_"), "__quality").limit(4 * rows).collect())
+    # One row a chosen id at most, so the broadcast is bounded whatever the tables hold.
+    found = with_statistics(texts.join(F.broadcast(votes), F.col("doc_id") == F.col("id")).select("doc_id", "text", "__quality"))
+    # Of rows with one id the least statistics count, so at most one row an id reaches the driver.
+    once = found.groupBy("doc_id").agg(F.min(F.struct(*_named(PREFIX), "__quality")).alias("row")).select("doc_id", "row.*")
+    got = sorted(tuple(r) for r in once.collect())
     x = np.array([r[1:-1] for r in got], np.float64).reshape(-1, len(STATISTICS))
     return fit(x, np.array([r[-1] for r in got], np.float64))
 
@@ -164,6 +169,11 @@ def score(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) ->
 
 
 def keep(docs: DataFrame, model: RuleEnsemble, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that score at least threshold, with all their columns."""
-    found = with_statistics(docs)
-    return found.where(model.column() >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs that score at least threshold, with all their columns and values.
+
+    Null and empty texts are scored like any; repeated rows and null ids stay or go each for
+    itself; an empty table gives an empty one; no column's name or value is touched.
+    """
+    prefix = free_prefix(docs, PREFIX)
+    found = with_statistics(docs, prefix)
+    return found.where(model.column(prefix) >= threshold).select(*[F.col(quoted(c)) for c in docs.columns])

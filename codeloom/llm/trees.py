@@ -75,10 +75,12 @@ def _grow(codes: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.
     return node
 
 
-def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 64, least: int = 5, ridge: float = 1.0) -> Boosted:
+def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: float = 0.3, bins: int = 64, least: int = 5, ridge: float = 1.0, share: float = 1.0, seed: int = 1) -> Boosted:
     """Fit to rows x and classes y (0 or 1). No rows, or one class, give a constant.
 
-    The same rows in any order give the same trees up to rounding; callers sort them.
+    Each tree sees a random share of the columns, so that one which tells the classes apart
+    on its own doesn't keep the others out. The same rows in any order give the same trees
+    up to rounding; callers sort them.
     """
     if not len(y):
         return Boosted()
@@ -94,9 +96,11 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 40, depth: int = 3, rate: flo
     codes = np.stack([np.searchsorted(cuts[c], x[:, c], side="left") for c in range(x.shape[1])], axis=1)
     margin = np.full(len(y), model.bias)
     rows = np.arange(len(y))
+    rng, none = np.random.default_rng(seed), np.zeros(0)
     for _ in range(trees):
         p = 1 / (1 + np.exp(-margin))
-        tree = _grow(codes, cuts, y - p, p * (1 - p), rows, depth, least, ridge, rate)
+        seen = set(rng.permutation(len(cuts))[: max(1, round(share * len(cuts)))].tolist())
+        tree = _grow(codes, [e if c in seen else none for c, e in enumerate(cuts)], y - p, p * (1 - p), rows, depth, least, ridge, rate)
         model.trees.append(tree)
         _add(tree, x, rows, margin)
     return model

@@ -4,6 +4,10 @@ Rules are written host/path with an optional subdomain and path; they are few an
 one column expression. URLs that no rule judges go to gradient-boosted trees over lexical
 features: lengths, depth, digit ratio, entropy, parameter counts, and smoothed statistics
 of host suffixes, all fitted to a bounded sample of labelled URLs.
+
+A suffix's statistics, as trees see them while they are fitted, leave out the URL's whole
+host. So no host's own label reaches its features: trees have to split on what hosts have
+in common, and judge hosts that no label names.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm import trees
-from codeloom.llm.common import about, prepare
+from codeloom.llm.common import least_keys, prepare
 
 #: Rules by default: verdict by host and path.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -26,7 +30,8 @@ RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block"
 HOST_TERMS = ("ad", "adult", "advert", "advertising", "banner", "bet", "bonus", "casino", "cheap", "click", "crack", "farm", "free", "gamble", "jackpot", "loan", "lottery", "pills", "poker", "porn", "prize", "replica", "spam", "torrent", "track", "tracker", "tracking", "viagra", "warez", "win", "xxx")
 #: Labelled URLs that training reads at most: those of the least hash.
 TRAIN_ROWS = 20_000
-SUFFIXES = (1, 2, 3)
+#: Labels of the suffixes with statistics, and features without those.
+SUFFIXES, LEXICAL = (1, 2, 3), 17
 
 
 def host_column(url: Column) -> Column:
@@ -43,7 +48,8 @@ def path_column(url: Column) -> Column:
 def rule_column(host: Column, path: Column, rules: dict[str, str]) -> Column:
     """The longest rule that fits, or null; of equally long ones the first in their order."""
     out = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: (len(r), r)):
+    order = list(rules)
+    for rule in sorted(rules, key=lambda r: (len(r), -order.index(r))):
         own, slash, under = rule.partition("/")
         fits = ((host == own) | host.endswith("." + own)) & path.startswith(slash + under)
         out = F.when(fits, F.lit(rule)).otherwise(out)
@@ -58,10 +64,8 @@ def entropy(text: str) -> float:
 
 def lexical(url: str) -> list[float]:
     """Features of the characters of a URL; suffix statistics come on top."""
-    rest = url.partition("://")[2]
-    ends = [i for i in (rest.find(c) for c in "/?#") if i >= 0]
-    host, tail = (rest[: min(ends)], rest[min(ends) :]) if ends else (rest, "")
-    host = host.lower()
+    host = host_of(url)
+    tail = url.partition("://")[2][len(host) :]
     path, _, query = tail.partition("#")[0].partition("?")
     labels = host.split(".") if host else []
     return [
@@ -85,13 +89,18 @@ def lexical(url: str) -> list[float]:
     ]
 
 
-def suffixes(url: str) -> list[str]:
-    """The last one, two and three labels of the host."""
+def host_of(url: str) -> str:
+    """host_column() of one URL."""
     rest = url.partition("://")[2]
     for c in "/?#":
         rest = rest.partition(c)[0]
-    labels = rest.lower().split(".")
-    return [".".join(labels[-n:]) for n in SUFFIXES]
+    return rest.lower()
+
+
+def suffixes(host: str) -> list[str]:
+    """The last one, two and three labels of a host."""
+    labels = host.split(".")
+    return [".".join(labels[-n:]) if n <= len(labels) else "" for n in SUFFIXES]
 
 
 @dataclass
@@ -102,18 +111,18 @@ class UrlModel:
     counts: dict[str, tuple[int, int]]
     rate: float
 
-    def features(self, urls: list[str], without: list[int] | None = None) -> np.ndarray:
-        """without: each URL's own label, taken out of its suffixes' statistics."""
+    def features(self, urls: list[str], own: dict[str, tuple[int, int]] | None = None, lexical_only: bool = False) -> np.ndarray:
+        """own: labelled and unwanted URLs of each host, taken out of its suffixes' statistics."""
         out = []
-        for i, url in enumerate(urls):
-            row = lexical(url)
-            for s in suffixes(url):
+        for url in urls:
+            row, host = lexical(url), host_of(url)
+            less, less_bad = own[host] if own is not None else (0, 0)
+            for s in () if lexical_only else suffixes(host):
                 n, bad = self.counts.get(s, (0, 0))
-                if without is not None:
-                    n, bad = n - 1, bad - without[i]
+                n, bad = n - less, bad - less_bad
                 row += [(bad + 5 * self.rate) / (n + 5), float(np.log1p(n))]
             out.append(row)
-        return np.array(out, np.float64).reshape(-1, 17 + 2 * len(SUFFIXES))
+        return np.array(out, np.float64).reshape(len(out), LEXICAL + (0 if lexical_only else 2 * len(SUFFIXES)))
 
     def probability(self, urls: list[str]) -> np.ndarray:
         """That each URL is unwanted."""
@@ -122,13 +131,17 @@ class UrlModel:
 
 def fit(urls: list[str], unwanted: list[int]) -> UrlModel:
     counts: dict[str, tuple[int, int]] = {}
+    own: dict[str, tuple[int, int]] = {}
     for url, y in zip(urls, unwanted):
-        for s in suffixes(url):
+        host = host_of(url)
+        n, bad = own.get(host, (0, 0))
+        own[host] = (n + 1, bad + y)
+        for s in suffixes(host):
             n, bad = counts.get(s, (0, 0))
             counts[s] = (n + 1, bad + y)
     model = UrlModel(trees.Boosted(), counts, sum(unwanted) / max(1, len(unwanted)))
-    x = model.features(urls, unwanted)
-    model.model = trees.fit(x, np.array(unwanted, np.float64), trees=30, depth=3, rate=0.3)
+    x = model.features(urls, own)
+    model.model = trees.fit(x, np.array(unwanted, np.float64), trees=60, depth=3, rate=0.2, share=0.4)
     return model
 
 
@@ -140,13 +153,13 @@ def weak_labels(pages: DataFrame, terms: tuple[str, ...] = HOST_TERMS) -> DataFr
 
 
 def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> UrlModel:
-    """labelled(url, unwanted): fitted to at most rows distinct URLs, whichever hash lowest.
+    """labelled(url, unwanted): fitted to at most rows distinct URLs, those of the least hashes.
 
     Null URLs or labels don't count; of several labels of a URL the majority does.
     """
     known = labelled.select("url", F.col("unwanted").cast("int")).dropna()
-    votes = about(known, "url", rows).groupBy("url").agg((F.avg("unwanted") > 0.5).cast("int").alias("unwanted"))
-    got = sorted((r[0], r[1]) for r in votes.orderBy(F.xxhash64("url"), "url").limit(rows).collect())
+    votes = least_keys(known, "url", rows).groupBy("url").agg((F.avg("unwanted") > 0.5).cast("int").alias("unwanted"))
+    got = sorted((r[0], r[1]) for r in votes.collect())
     return fit([u for u, _ in got], [y for _, y in got])
 
 

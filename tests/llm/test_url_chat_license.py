@@ -1,8 +1,9 @@
 import random
 import re
 
+import numpy as np
 import pytest
-from codeloom.llm import chat_format, license_scan, url_filter
+from codeloom.llm import chat_format, license_scan, trees, url_filter
 from pyspark.sql import functions as F
 
 from tests.llm.frames import AWKWARD, EMPTY, LONG, documents
@@ -66,8 +67,52 @@ def test_op2_judges_all_pages(spark):
     for p in pages:
         r = rows[p["page_id"]]
         assert (r["host"], r["path"], r["rule"]) == slow(p["url"])
-        if r["rule"] is None:
-            assert (r["verdict"] == "block") == bool(set(re.split("[.-]", r["host"])) & set(url_filter.HOST_TERMS))
+        assert r["verdict"] == url_filter.RULES[r["rule"]] if r["rule"] else r["verdict"] in ("allow", "block")
+
+
+def auc(p, y):
+    p, y = np.asarray(p), np.asarray(y)
+    high, low = p[y == 1][:, None], p[y == 0]
+    return float(((high > low) + 0.5 * (high == low)).mean())
+
+
+def test_whole_hosts_held_out(spark):
+    """Hosts that no label names are told by lexical features, not by their own suffix."""
+    labelled = sorted({(r["url"], r["unwanted"]) for r in url_filter.weak_labels(spark.read.parquet("/root/testdata/sf0.1/pages.parquet")).collect()})
+    hosts = {}
+    for url, y in labelled:
+        hosts.setdefault(y, set()).add(url_filter.host_of(url))
+    assert len(hosts[1]) >= 6
+    for fold in range(3):
+        out = {h for group in hosts.values() for i, h in enumerate(sorted(group)) if i % 3 == fold}
+        train = [(u, y) for u, y in labelled if url_filter.host_of(u) not in out]
+        test = [(u, y) for u, y in labelled if url_filter.host_of(u) in out]
+        y = [b for _, b in test]
+        model = url_filter.fit([u for u, _ in train], [b for _, b in train])
+        urls = [u for u, _ in test]
+        assert auc(model.probability(urls), y) > 0.95
+        # Without the lexical features nothing is known of such hosts.
+        x = model.features([u for u, _ in train], {h: (sum(url_filter.host_of(u) == h for u, _ in train), sum(b for u, b in train if url_filter.host_of(u) == h)) for h in {url_filter.host_of(u) for u, _ in train}})[:, url_filter.LEXICAL :]
+        suffix_only = trees.fit(x, np.array([b for _, b in train], float), trees=60, depth=3, rate=0.2, share=0.4)
+        assert auc(suffix_only.probability(model.features(urls)[:, url_filter.LEXICAL :]), y) < 0.8
+    columns = set()
+
+    def walk(node):
+        if node.left:
+            columns.add(node.column)
+            walk(node.left)
+            walk(node.right)
+
+    for tree in model.model.trees:
+        walk(tree)
+    assert len(columns & set(range(url_filter.LEXICAL))) >= 4
+
+
+def test_of_equal_rules_the_first_wins(spark):
+    df = spark.createDataFrame([("x.net", "/x/")], "host string, path string")
+    for rules in (["x.net/", "net/x/"], ["net/x/", "x.net/"]):
+        found = df.select(url_filter.rule_column(F.col("host"), F.col("path"), dict.fromkeys(rules, "block")).alias("r")).first()["r"]
+        assert found == rules[0]
 
 
 SCHEMA = "pair_id long, turn long, role string, text string"
