@@ -1,11 +1,11 @@
 """Quality rules as a short-circuit cascade.
 
 Base counts are made for every document. Documents that the base rule lets through go
-through further rules, one after another, until one rejects. Their order is learnt: the
-first documents of every task, a sample spread over the whole table, meet all rules,
-which gives each rule's cost (seconds a document) and selectivity (part rejected); the
-rest meet them by rejections per second, falling. A verdict is a conjunction, so it
-doesn't depend on the order.
+through further rules, one after another, until one rejects. Their order is learnt: a
+random sample of the whole table meets all rules, which gives each rule's cost (seconds a
+document) and selectivity (part rejected); all documents then meet them by rejections per
+second, falling, in one order everywhere. A verdict is a conjunction, so it doesn't depend
+on the order.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import prepare
+from codeloom.llm.common import over_texts, prepare
 
-#: Documents of each task that meet all rules.
-SAMPLE_ROWS = 64
+#: Documents that meet all rules first, about: a random sample of the whole table.
+SAMPLE_ROWS = 2000
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -131,49 +131,62 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-class Cascade:
-    """Rules in their order; profiles the first texts, then short-circuits."""
-
-    def __init__(self, rules: dict[str, Callable[[Text], bool]], sample: int = SAMPLE_ROWS, clock: Callable[[], float] = time.perf_counter) -> None:
-        self.rules, self.left, self.clock = list(rules.items()), sample, clock
-        self.seconds: Counter = Counter()
-        self.rejected: Counter = Counter()
-        self.met = 0
-
-    def first_rejection(self, text: Text) -> str | None:
-        """The name of a rule that rejects the text."""
-        if self.left <= 0:
-            for name, rule in self.rules:
-                if rule(text):
-                    return name
-            return None
-        self.left -= 1
-        self.met += 1
-        found = None
-        for name, rule in self.rules:
-            began = self.clock()
-            no = rule(text)
-            self.seconds[name] += self.clock() - began
-            self.rejected[name] += no
-            found = found or (name if no else None)
-        if not self.left:
-            self.rules.sort(key=lambda r: self.gain(r[0]), reverse=True)
-        return found
-
-    def gain(self, name: str) -> float:
-        """Rejections per second; rules that never rejected go by cheapness, after the others."""
-        return (self.rejected[name] + 1e-3) / max(self.seconds[name], 1e-9)
-
-
-def score_batches(batches: Iterator[pa.RecordBatch], rules: dict[str, Callable[[Text], bool]], sample: int) -> Iterator[tuple[pa.RecordBatch, list[Text], list[bool], list[str | None]]]:
-    cascade = Cascade(rules, sample)
+Rules = dict[str, Callable[[Text], bool]]
+
+
+def first_rejection(text: Text, rules: Rules) -> str | None:
+    """The name of the first rule that rejects the text; those after it are never run."""
+    return next((name for name, rule in rules.items() if rule(text)), None)
+
+
+def profile(docs: DataFrame, rules: Rules | None = None, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """What a random sample of about rows documents of the whole table says of each rule:
+    (rule, met, rejected, seconds). Documents that fail the base rule aren't met."""
+    prepare(docs.sparkSession)
+    use = RULES if rules is None else rules
+    texts = docs.select(F.col("text").cast("string"))
+    share = rows / max(1, docs.count())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, rejected, seconds = 0, Counter(), Counter()
+        for batch in batches:
+            for x in batch.column("text").cast(pa.binary()).to_pylist():
+                if base_failed((t := Text(x or b"")).stats):
+                    continue
+                met += 1
+                for name, rule in use.items():
+                    began = time.perf_counter()
+                    rejected[name] += rule(t)
+                    seconds[name] += time.perf_counter() - began
+        names = list(use)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([met] * len(names), pa.int64()), pa.array([rejected[n] for n in names], pa.int64()), pa.array([float(seconds[n]) for n in names], pa.float64())], ["rule", "met", "rejected", "seconds"])
+
+    found = (texts.sample(share, seed=1) if share < 1 else texts).mapInArrow(run, "rule string, met long, rejected long, seconds double")
+    return found.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("met", "rejected", "seconds")])
+
+
+def by_gain(rules: Rules, profiled: dict[str, tuple[int, float]]) -> Rules:
+    """Rules by rejections per second, falling; those that never rejected by cheapness, after the others.
+
+    profiled: of each rule the rejections and seconds on the sample; without any, the order stays."""
+    gain = lambda name: (profiled[name][0] + 1e-3) / max(profiled[name][1], 1e-9) if name in profiled else 0.0
+    return {name: rules[name] for name in sorted(rules, key=gain, reverse=True)}
+
+
+def cascade(docs: DataFrame, rules: Rules | None = None, sample: int = SAMPLE_ROWS) -> Rules:
+    """The rules in the order that a sample of docs gives them."""
+    use = RULES if rules is None else rules
+    return by_gain(use, {r["rule"]: (r["rejected"], r["seconds"]) for r in profile(docs, use, sample).collect()})
+
+
+def score_batches(batches: Iterator[pa.RecordBatch], rules: Rules) -> Iterator[tuple[pa.RecordBatch, list[Text], list[bool], list[str | None]]]:
     for batch in batches:
         texts = [Text(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
         failed = [base_failed(t.stats) for t in texts]
-        yield batch, texts, failed, [None if f else cascade.first_rejection(t) for t, f in zip(texts, failed)]
+        yield batch, texts, failed, [None if f else first_rejection(t, rules) for t, f in zip(texts, failed)]
 
 
-def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None, sample: int = SAMPLE_ROWS) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules | None = None, sample: int = SAMPLE_ROWS) -> DataFrame:
     """docs(doc_id, text) -> (doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept).
 
     Null and empty texts have no words and fail the base rule. Row for row: repeated rows
@@ -181,10 +194,10 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = Non
     text's memory is a small multiple of its length.
     """
     prepare(docs.sparkSession)
-    use = RULES if rules is None else rules
+    use = cascade(docs, rules, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, failed, by in score_batches(batches, use, sample):
+        for batch, texts, failed, by in score_batches(batches, use):
             kept = [not f and r is None for f, r in zip(failed, by)]
             stats = [pa.array([t.stats[k] for t in texts], pa.int64()) for k in BASE]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *stats, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], ["doc_id", *BASE, "base_failed", "kept"])
@@ -193,31 +206,17 @@ def judge(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = Non
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def keep(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None, sample: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that judge() keeps, with all their columns."""
-    prepare(docs.sparkSession)
-    use = RULES if rules is None else rules
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, failed, by in score_batches(batches, use, sample):
-            yield batch.filter(pa.array([not f and r is None for f, r in zip(failed, by)], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
+def keep(docs: DataFrame, rules: Rules | None = None, sample: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs that judge() keeps, with all their columns and values.
 
-def profile(docs: DataFrame, rules: dict[str, Callable[[Text], bool]] | None = None, rows: int = 2000) -> DataFrame:
-    """What a sample of rows rows says of each rule: (rule, met, rejected, seconds), a report."""
+    Null and empty texts go; repeated rows and null ids stay or go each for itself; an empty
+    table gives an empty one; no column's name or value is touched.
+    """
     prepare(docs.sparkSession)
-    use = RULES if rules is None else rules
+    use = cascade(docs, rules, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cascade = Cascade(use, 1 << 62)
-        for batch in batches:
-            for x in batch.column("text").cast(pa.binary()).to_pylist():
-                if not base_failed((t := Text(x or b"")).stats):
-                    cascade.first_rejection(t)
-        names = list(use)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([cascade.met] * len(names), pa.int64()), pa.array([cascade.rejected[n] for n in names], pa.int64()), pa.array([float(cascade.seconds[n]) for n in names])], ["rule", "met", "rejected", "seconds"])
+        for batch, _, failed, by in score_batches(batches, use):
+            yield batch.filter(pa.array([not f and r is None for f, r in zip(failed, by)], pa.bool_()))
 
-    found = docs.select(F.col("text").cast("string")).limit(rows).mapInArrow(run, "rule string, met long, rejected long, seconds double")
-    return found.groupBy("rule").agg(*[F.sum(c).alias(c) for c in ("met", "rejected", "seconds")])
+    return over_texts(docs, run)

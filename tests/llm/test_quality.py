@@ -7,8 +7,9 @@ from codeloom.llm import quality_rules as qr
 from codeloom.llm import trees
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tests.llm.frames import AWKWARD, EMPTY, LONG, documents
+from tests.llm.frames import AWKWARD, EMPTY, LONG, documents, kept_whole
 from tests.oracle import connection, same
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -37,37 +38,44 @@ def test_awkward_rows(spark):
     assert by[3]["n_words"] == 160_000 and by[3]["base_failed"]
     assert qr.judge(documents(spark, EMPTY)).count() == 0
     kept = qr.keep(documents(spark, AWKWARD))
-    assert kept.columns == documents(spark, AWKWARD).columns and kept.count() == sum(r["kept"] for r in got)
+    assert kept_whole(documents(spark, AWKWARD), kept) == sum(r["kept"] for r in got)
 
 
-def test_order_is_learnt_and_does_not_change_verdicts():
+def test_order_is_learnt_and_does_not_change_verdicts(spark):
+    rules = {"dear": lambda t: t.stats["n_words"] % 2 == 0, "cheap": lambda t: t.stats["n_words"] % 3 == 0, "never": lambda t: False, "unseen": lambda t: False}
+    found = qr.by_gain(rules, {"dear": (20, 200.0), "cheap": (13, 39.0), "never": (0, 3.9)})
+    assert list(found) == ["cheap", "dear", "never", "unseen"]
     calls = []
-    now = [0.0]
 
-    def rule(name, cost, rejects):
+    def seen(name):
         def run(t):
-            now[0] += cost
             calls.append(name)
-            return rejects(t.stats["n_words"])
+            return rules[name](t)
 
         return run
 
-    rules = {"dear": rule("dear", 10, lambda n: n % 2 == 0), "cheap": rule("cheap", 1, lambda n: n % 3 == 0), "never": rule("never", 0.1, lambda n: False)}
     texts = [qr.Text(b"w " * n) for n in range(1, 40)]
-    cascade = qr.Cascade(rules, sample=12, clock=lambda: now[0])
-    verdicts = [cascade.first_rejection(t) is not None for t in texts]
-    assert [n for n, _ in cascade.rules] == ["cheap", "dear", "never"]
-    assert verdicts == [n % 2 == 0 or n % 3 == 0 for n in range(1, 40)]
-    assert len(calls) < 3 * 39  # short-circuited behind the sample
-    for order in (list(rules), list(rules)[::-1]):
-        fixed = qr.Cascade({k: rules[k] for k in order}, sample=0)
-        assert [fixed.first_rejection(t) is not None for t in texts] == verdicts
+    for order in (list(rules), list(found), list(found)[::-1]):
+        calls.clear()
+        verdicts = [qr.first_rejection(t, {name: seen(name) for name in order}) is not None for t in texts]
+        assert verdicts == [n % 2 == 0 or n % 3 == 0 for n in range(1, 40)]
+        assert len(calls) < 4 * 39
+    first = lambda t: t.raw.startswith(b"symbols")
+    last = lambda t: not first(t)
+    body = " ".join(f"w{j}" for j in range(60))
+    # A table sorted by what the rules look for: the sample is of all of it.
+    docs = spark.createDataFrame([(i, f"{'symbols' if i < 400 else 'plain'} {body} {i}") for i in range(4000)], "doc_id long, text string").repartitionByRange(4, "doc_id")
+    rows = {r["rule"]: r for r in qr.profile(docs, {"first": first, "last": last}, rows=500).collect()}
+    assert 350 < rows["first"]["met"] < 650 and 20 < rows["first"]["rejected"] < 90
+    assert rows["first"]["rejected"] + rows["last"]["rejected"] == rows["last"]["met"]
+    assert list(qr.cascade(docs, {"first": first, "last": last}, 500))[0] == "last"
 
 
 def test_profile(spark):
     rows = [(i, f"word{i} " * 5 + " ".join(f"w{j}" for j in range(60)) + " ##" * (i % 2 * 40)) for i in range(20)]
     found = {r["rule"]: r for r in qr.profile(documents(spark, rows)).collect()}
     assert found["symbols"]["met"] > 0 and set(found) == set(qr.RULES)
+    assert list(qr.cascade(documents(spark, EMPTY))) == list(qr.RULES)
 
 
 def test_op1_equals_sql(spark):
@@ -111,7 +119,7 @@ def test_classifier_awkward_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     none = qc.train(documents(spark, EMPTY), labels.limit(0))
     assert none == qc.RuleEnsemble() and qc.score(documents(spark, EMPTY), none).count() == 0
-    assert qc.keep(documents(spark, AWKWARD), none).columns == documents(spark, AWKWARD).columns
+    assert kept_whole(documents(spark, AWKWARD), qc.keep(documents(spark, AWKWARD), none)) == len(AWKWARD)
     assert len(qc.statistics(LONG.encode())) == len(qc.STATISTICS)
 
 
@@ -126,12 +134,36 @@ def test_held_out_accuracy(spark):
     assert len(test) > 20 and sum(p == q for p, q in test) / len(test) >= 0.95
 
 
-def test_least_hashes_are_those_of_all(spark):
-    from codeloom.llm.common import about
+def test_least_keys_are_those_of_all_however_often_they_repeat(spark):
+    from codeloom.llm.common import least_keys
     from pyspark.sql import functions as F
 
-    ids = spark.range(20_000).toDF("id")
-    top = lambda df: [r[0] for r in df.orderBy(F.xxhash64("id"), "id").limit(300).collect()]
-    some = about(ids, "id", 300)
-    assert top(some) == top(ids) and 300 < some.count() < 1200
-    assert about(ids, "id", 10_000).count() == 20_000 and about(ids.limit(0), "id", 5).count() == 0
+    for repeats in (1, 40):
+        ids = spark.range(2_000 * repeats).select((F.col("id") % 2_000).alias("id")).unionByName(spark.createDataFrame([(None,)], "id long"))
+        keys = {r[0] for r in least_keys(ids, "id", 300).collect()}
+        top = {r[0] for r in ids.dropna().distinct().orderBy(F.xxhash64("id"), "id").limit(300).collect()}
+        assert keys == top and least_keys(ids, "id", 300).count() == 300 * repeats
+        assert least_keys(ids, "id", 10_000).count() == 2_000 * repeats and least_keys(ids.limit(0), "id", 5).count() == 0
+
+
+def test_training_reads_one_text_an_id(spark):
+    good, bad = "clean words stand here in a row. " * 3, "### ||| %%% !!! " * 3
+    rows = [(i % 50, good if i % 2 else bad) for i in range(1000)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] * 30, "doc_id long, quality int")
+    model = qc.train(docs, labels, rows=40)
+    assert model == qc.train(docs.orderBy(F.rand(3)), labels.repartition(7), rows=40)
+    found = {r["doc_id"]: r["predicted"] for r in qc.score(docs, model).collect()}
+    assert all(p == i % 2 for i, p in found.items())
+
+
+def test_spread_join(spark):
+    from codeloom.llm.common import spread_join
+    from pyspark.sql import functions as F
+
+    rows = spark.range(6000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    values = rows.select("k").distinct().withColumn("v", F.col("k") * 2)
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for r, v, c in ((rows, values, counts), (rows.where("k > 0"), values, counts.where("k > 0")), (rows.limit(0), values, counts.limit(0))):
+        got = spread_join(r, v, ["k"], c).select("id", "k", "v")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, r.join(v, "k").select("id", "k", "v").collect()))
