@@ -4,31 +4,41 @@ Fingerprints are 64 bits; two documents link when at most TAU = 4 bits differ. T
 bits form a ring of five segments. If the total difference is at most 4, then some
 segment starts a chain around the ring whose running differences stay within the
 proportional budget l * 4 / 5 for every chain length l: 0 bits in the first segment,
-at most 1 in the first two, 2 in three, 3 in four. The join key is the first two
-segments (about 26 bits): one side carries it exactly, the other with every single-bit
-change of the second segment. Longer chains and then the whole distance are checked on
-what meets. Exact copies are one fingerprint before any of this.
+at most 1 in the first two, 2 in three, 3 in four, 4 in all five.
+
+Candidates meet in the middle: both sides name the start segment and the values of a
+chain of segments, as they are and with few bits flipped; every part of an allowed
+difference is itself within the budgets, so the two halves of it name one value. With a
+chain of three segments (about 39 bits) and one flip a side, a fingerprint has at most
+135 keys, and what meets at a key goes through the longer chains and the whole distance.
+Keys that many share are split by the same rule at its full length: five segments and two
+flips a side, where meeting is already being within 4 bits, so that all who meet link to
+the least of them and no pairs are made. Exact copies are one fingerprint before any of
+this.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, prepare
+from codeloom.llm.common import checkpointed, packed, partitions, prepare, spread_join
 from codeloom.llm.components import connected_components
 
 TAU = 4
 SHINGLE = 4
 #: (lowest bit, width) around the ring.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
-#: A key's bucket with more members than this is dense. Below, each member meets at
-#: most that many others; above, dense_links() links the bucket without any pairs.
-DENSE = 2048
+#: Segments of the chain that keys are made of, and bits that either side flips in it.
+CHAIN, FLIPS = 3, 1
+#: A key with more members than this is split by the chain's full length. Up to here all
+#: pairs of its members are looked at, which costs about as much as the split.
+CROWD = 128
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -71,57 +81,72 @@ def _segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
-def _key(i: int, first: Column, second: Column) -> Column:
-    """The start segment's number, its bits and the next segment's bits in one long."""
-    return F.lit(i << 26).cast("long") + F.shiftleft(first, 13) + second
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _exact_keys(fp: Column) -> Column:
-    return F.array(*[_key(i, _segment(fp, i), _segment(fp, i + 1)) for i in range(5)])
+def _chain_mask(start: int, length: int) -> int:
+    """The bits of a chain of segments."""
+    return sum(((1 << SEGMENTS[i % 5][1]) - 1) << SEGMENTS[i % 5][0] for i in range(start, start + length))
 
 
-def _near_keys(fp: Column) -> Column:
-    return F.array(*[_key(i, _segment(fp, i), _segment(fp, i + 1).bitwiseXOR(F.lit(flip).cast("long"))) for i in range(5) for flip in (0, *(1 << b for b in range(SEGMENTS[(i + 1) % 5][1])))])
+def _halves(start: int, length: int, flips: int) -> list[int]:
+    """Every set of at most flips bits of a chain that keeps to the budgets."""
+    place = {b: n for n in range(length) for b in range(SEGMENTS[(start + n) % 5][0], sum(SEGMENTS[(start + n) % 5]))}
+    out = []
+    for count in range(flips + 1):
+        for bits in combinations(sorted(place), count):
+            where = [place[b] for b in bits]
+            if all(sum(w < n for w in where) <= (n * TAU) // len(SEGMENTS) for n in range(1, length + 1)):
+                out.append(sum(1 << b for b in bits))
+    return out
+
+
+def _keys(fp: Column, start: int, length: int, flips: int) -> Column:
+    """Structs (start, value): the chain's bits, as they are and with flips."""
+    masks = F.split(F.lit(",".join(str(_signed(m)) for m in _halves(start, length, flips))), ",").cast("array<bigint>")
+    chain = F.lit(_signed(_chain_mask(start, length))).cast("long")
+    return F.transform(masks, lambda m: F.struct(F.lit(start).cast("tinyint").alias("start"), fp.bitwiseXOR(m).bitwiseAND(chain).alias("value")))
 
 
 def _chain(x: Column, start: Column) -> Column:
-    """Chains of three and four segments from start keep to their budgets."""
+    """All chains from start keep to their budgets."""
     d = [F.bit_count(_segment(x, i)) for i in range(5)]
-    ok = [(d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] <= 2) & (d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] + d[(i + 3) % 5] <= 3) for i in range(5)]
+    ok = [(d[i] == 0) & (d[i] + d[(i + 1) % 5] <= 1) & (d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] <= 2) & (d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] + d[(i + 3) % 5] <= 3) for i in range(5)]
     out = F.lit(False)
     for i in range(5):
         out = F.when(start == i, ok[i]).otherwise(out)
     return out
 
 
-def dense_links(members: DataFrame) -> DataFrame:
-    """members(fp) -> star edges that connect all pairs within TAU bits, without pairs.
+def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """distinct(fp) -> (u, v) edges that connect every two fingerprints within TAU bits.
 
-    Two fingerprints are within 4 bits exactly if some value is within 2 bits of both. So
-    each member names the 2081 values within 2 bits of it, and all who name the same
-    value are linked to the least of them: rows stay linear in the members.
+    A fingerprint has many keys, each once, so even a key that all share holds less than a
+    hundredth of the keyed rows. Those are counted by a window, which spills; only keys with
+    more than one member are kept.
     """
-    flips = [0, *(1 << a for a in range(64)), *(1 << a | 1 << b for a in range(64) for b in range(a))]
-    masks = F.array(*[F.lit(m - (1 << 64) if m >> 63 else m).cast("long") for m in flips])
-    named = members.select("fp", F.explode(F.transform(masks, lambda m: F.col("fp").bitwiseXOR(m))).alias("value"))
-    least = named.groupBy("value").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
-    return named.join(least, "value").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
-
-
-def links(distinct: DataFrame, dense: int = DENSE) -> DataFrame:
-    """distinct(fp) -> (u, v) edges that connect every two fingerprints within TAU bits."""
-    exact = distinct.select("fp", F.explode(_exact_keys(F.col("fp"))).alias("key"))
-    near = distinct.select(F.col("fp").alias("other"), F.explode(_near_keys(F.col("fp"))).alias("key"))
-    crowded = checkpointed(exact.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("key"))
-    hot = None
-    if not crowded.isEmpty():
-        hot = dense_links(near.join(crowded, "key", "left_semi").select(F.col("other").alias("fp")).distinct())
-        exact = exact.join(crowded, "key", "left_anti")
+    # The input is small beside its keys: it is dealt before these are made.
+    dealt = distinct.repartition(partitions(distinct), "fp")
+    keyed = dealt.select("fp", F.explode(F.concat(*[_keys(F.col("fp"), i, CHAIN, FLIPS) for i in range(5)])).alias("key")).select("fp", "key.*")
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("start", "value")))
+    shared = checkpointed(counted.where("n > 1"))
+    few = shared.where(F.col("n") <= crowd)
     x = F.col("fp").bitwiseXOR(F.col("other"))
-    start = F.shiftright("key", 26)
-    met = near.join(exact, "key").where((F.col("fp") < F.col("other")) & _chain(x, start) & (F.bit_count(x) <= TAU))
-    plain = met.select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    return plain if hot is None else plain.unionByName(hot)
+    met = few.select("start", "value", "fp").join(few.select("start", "value", F.col("fp").alias("other")), ["start", "value"])
+    pairs = met.where((F.col("fp") < F.col("other")) & (F.bit_count(x) <= TAU) & _chain(x, F.col("start"))).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    crowds = shared.where(F.col("n") > crowd).select("start", "fp").distinct()
+    return pairs if crowds.isEmpty() else pairs.unionByName(_crowd_links(crowds))
+
+
+def _crowd_links(members: DataFrame) -> DataFrame:
+    """members(start, fp) -> star edges of all within TAU bits whose chain from start keeps
+    to the budgets, by the chain's full length. Rows are linear in the members."""
+    dealt = members.repartition(partitions(members), "start", "fp")
+    whole = F.coalesce(*[F.when(F.col("start") == i, _keys(F.col("fp"), i, len(SEGMENTS), TAU // 2)) for i in range(5)])
+    named = dealt.select("fp", F.explode(whole).alias("key")).select("fp", "key.*")
+    least = named.groupBy("start", "value").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
+    return named.join(least, ["start", "value"]).where("fp <> v").select(F.col("fp").alias("u"), "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,35 +158,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where all are); an empty table gives an empty one; other columns are ignored.
     """
     hashed = checkpointed(fingerprints(docs))
-    distinct = hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = connected_components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    classes = distinct.join(roots, "fp", "left").withColumn("component", F.coalesce("root", "fp"))
-    ids = classes.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    named = classes.join(ids, "component").select("fp", "component", "component_id")
-    return hashed.join(named, "fp").select("doc_id", "text_key", "fp", "component", "component_id")
+    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
+    roots = checkpointed(connected_components(links(distinct.select("fp"))))
+    # Most fingerprints are alone: only the linked ones are looked up by their component.
+    linked = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").withColumnRenamed("root", "component"))
+    parts = linked.groupBy("component")
+    named = spread_join(linked, parts.agg(F.min("least_id").alias("component_id")), ["component"], parts.agg(F.count("*").alias("n")))
+    alone = distinct.join(roots, distinct["fp"] == roots["node"], "left_anti").select("fp", F.col("fp").alias("component"), F.col("least_id").alias("component_id"))
+    names = named.select("fp", "component", "component_id").unionByName(alone)
+    return spread_join(hashed, names, ["fp"], distinct.select("fp", "n")).select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component, one with the least doc_id; all columns of docs.
+    """One row of each component, one with the least doc_id; all columns and values of docs.
 
     Of rows with that id but different texts the least text_key stays, of repeated rows
-    any one. A component whose ids are all null keeps one row. Rows are told apart by
-    (doc_id, text_key), so no join meets all copies of a text at one key.
+    (and of rows that differ in other columns only) any one. A component whose ids are all
+    null keeps one row. Rows are told apart by (doc_id, text_key), so no join meets all
+    copies of a text at one key. Null and word-less texts are one component; an empty table
+    gives an empty one.
     """
     near = checkpointed(near_duplicates(docs))
     own = near.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     kept = own.groupBy("component").agg(F.min_by(F.struct("doc_id", "text_key"), "text_key").alias("row")).select("row.*")
-    repeated = checkpointed(near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_key"))
-    rows = docs.withColumn("__key", F.xxhash64(F.col("text").cast("string")))
-
-    def matching(keys: DataFrame, how: str) -> DataFrame:
-        k = keys.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"))
-        return rows.join(k, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__text")), how)
-
-    both = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
-    if repeated.isEmpty():
-        return matching(kept, "left_semi").select(*docs.columns)
-    several = kept.alias("a").join(repeated.alias("b"), both, "left_semi")
-    once = kept.alias("a").join(repeated.alias("b"), both, "left_anti")
-    one = matching(several, "left_semi").dropDuplicates(["doc_id", "__key"])
-    return matching(once, "left_semi").unionByName(one).select(*docs.columns)
+    counts = near.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "text_key")]
+    chosen = checkpointed(kept.alias("a").join(counts.alias("b"), same).select(F.col("a.doc_id").alias("id"), "a.text_key", "n"))
+    rows = docs.select(packed(docs).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("key"))
+
+    def matching(keys: DataFrame) -> DataFrame:
+        return rows.join(keys.select("id", "text_key"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("text_key")), "left_semi")
+
+    once = matching(chosen.where("n = 1")).select("row.*")
+    if chosen.where("n > 1").isEmpty():
+        return once
+    return once.unionByName(matching(chosen.where("n > 1")).dropDuplicates(["doc_id", "key"]).select("row.*"))

@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.llm.frames import AWKWARD, EMPTY, documents
+from tests.llm.frames import AWKWARD, EMPTY, documents, kept_whole
 
 
 def slow_fingerprint(text):
@@ -54,11 +54,11 @@ def fingerprints(n, seed):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("dense", [2048, 3])
-def test_links_connect_what_is_near(spark, dense):
+@pytest.mark.parametrize("crowd", [128, 2])
+def test_links_connect_what_is_near(spark, crowd):
     fps = fingerprints(150, 7)
     df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long")
-    roots = {r["node"] % (1 << 64): r["root"] for r in connected_components(simhash.links(df, dense)).collect()}
+    roots = {r["node"] % (1 << 64): r["root"] for r in connected_components(simhash.links(df, crowd)).collect()}
     expected = labels(fps)
     groups = {}
     for f, i in expected.items():
@@ -97,7 +97,7 @@ def test_awkward_rows(spark):
     assert by[0]["fp"] == by[1]["fp"] == by[2]["fp"] == 0 and by[2]["component_id"] == 0
     assert by[5]["component_id"] == 4
     kept = simhash.deduplicate(docs)
-    assert kept.columns == docs.columns
+    assert kept_whole(docs, kept) == 6
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4, 6, 7]
     assert kept.where("doc_id is null").count() == 1  # the unnamed text is alone in its component
     assert simhash.near_duplicates(documents(spark, EMPTY)).count() == simhash.deduplicate(documents(spark, EMPTY)).count() == 0
@@ -105,6 +105,24 @@ def test_awkward_rows(spark):
     assert sorted(r["text"] for r in twice.collect()) == ["a b c d", "e f g h i"]
 
 
+def test_a_crowd_is_linked_whole(spark):
+    rng = random.Random(5)
+    center = rng.getrandbits(64)
+    near = {center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 2, 3]))) for _ in range(700)}
+    # Some are only reached over others.
+    for x in list(near)[:40]:
+        near.add(x ^ sum(1 << b for b in rng.sample(range(64), 4)))
+    fps = sorted(near | {rng.getrandbits(64) for _ in range(50)})
+    expected = labels(fps)
+    for crowd in (8, 10_000):
+        edges = simhash.links(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long"), crowd)
+        roots = {r["node"] % (1 << 64): r["root"] for r in connected_components(edges).collect()}
+        groups = {}
+        for f, i in expected.items():
+            groups.setdefault(i, set()).add(roots.get(f, ("alone", f)))
+        assert all(len(g) == 1 for g in groups.values()) and len(set().union(*groups.values())) == len(groups)
+
+
 def test_against_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = simhash.near_duplicates(docs).collect()
