@@ -19,23 +19,26 @@ document's windows of n words are compared with the items of that size:
    word pairs with a window as the bound of 1. asks of it is a candidate, which loses none.
 5. Candidates are verified by the exact edit distance of the item to the best stretch of
    the words around the window.
+
+Items under five words allow no edits; they are found as they are, word for word.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import prepare
+from codeloom.llm.common import checkpointed, over_texts, packed, prepare
 
 SIMILARITY = 0.8
-#: Items with fewer words can't be told from ordinary text and are never looked for.
+#: Items with fewer words allow no edit and have few pairs or none: they are looked up whole.
 MIN_WORDS = 5
 #: Sampled places of a table, tables of a walk, walks at most, and the recall aimed at.
 PLACES, TABLES, WALKS, RECALL = 3, 4, 12, 0.95
@@ -74,12 +77,19 @@ class Index:
         sizes: dict[int, list[tuple[int | None, list[int]]]] = {}
         for item_id, text in items:
             words = words_of(text)
-            if len(words) >= MIN_WORDS:
+            if words:
                 sizes.setdefault(len(words), []).append((item_id, [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]))
         self.pad = len(self.vocab) + 1
         self.similarity = similarity
-        self.sizes = sorted(sizes)
-        self.ids = {n: [i for i, _ in sizes[n]] for n in self.sizes}
+        self.ids = {n: [i for i, _ in sizes[n]] for n in sizes}
+        # Of each short size the items by their words, and which words any of them has.
+        self.short: dict[int, dict[tuple[int, ...], list[int]]] = {}
+        self.in_short = np.zeros(self.pad + 1, bool)
+        for n in range(1, MIN_WORDS):
+            for i, (_, w) in enumerate(sizes.get(n, ())):
+                self.short.setdefault(n, {}).setdefault(tuple(w), []).append(i)
+                self.in_short[w] = True
+        self.sizes = sorted(n for n in sizes if n >= MIN_WORDS)
         self.items = {n: np.array([w for _, w in sizes[n]], np.int64) for n in self.sizes}
         self.edits = {n: int((1 - similarity) * n + 1e-9) for n in self.sizes}
         coded = {n: (self.items[n][:, :-1] * self.pad + self.items[n][:, 1:]).ravel() for n in self.sizes}
@@ -180,11 +190,14 @@ class Index:
         """Of each text: the edit distance of each item within reach, an item named by its
         size and its place among the items of that size."""
         found: list[dict] = [{} for _ in texts]
+        docs = [np.fromiter(map(self.vocab.get, words_of(t), repeat(0)), np.int64) for t in texts]
+        for n, items in self.short.items():
+            for own, doc in zip(found, docs):
+                self._look_up(doc, n, items, own)
         if not self.sizes or not texts:
             return found
         most = max(self.edits.values())
         gap = max(most, 1)  # words between documents, so that pairs end with them
-        docs = [np.fromiter(map(self.vocab.get, words_of(t), repeat(0)), np.int64) for t in texts]
         flat, starts, ends = _laid(docs, gap)
         pairs = self._pairs(flat)
         # Documents without a stretch that has its share of pairs are done with.
@@ -223,6 +236,12 @@ class Index:
                 self._look(flat, at[c : c + some], doc[c : c + some], sizes[c : c + some], starts, ends, own)
         return found
 
+    def _look_up(self, doc: np.ndarray, n: int, items: dict[tuple[int, ...], list[int]], found: dict) -> None:
+        """Short items of n words that the document has word for word."""
+        count = np.cumsum(np.append(0, self.in_short[doc]))
+        for at in np.flatnonzero(count[n:] - count[:-n] == n).tolist():
+            found.update(((n, i), 0) for i in items.get(tuple(doc[at : at + n].tolist()), ()))
+
     def _pairs(self, flat: np.ndarray) -> np.ndarray:
         """The place, from 1, of each adjacent pair among the items' pairs, else 0."""
         out = np.zeros(len(flat) - 1, np.int64)
@@ -288,59 +307,92 @@ def _laid(docs: list[np.ndarray], gap: int) -> tuple[np.ndarray, np.ndarray, np.
     return np.concatenate([x for d in docs for x in (d, space)]), ends - np.array([len(d) for d in docs]), ends
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list[tuple]]:
-    """The items in blocks of bounded text: one for a benchmark of usual size.
-
-    A larger benchmark is cut by a hash, block by block; each block is one pass over the
-    documents, and only one is on the driver at a time while its index is made.
-    """
+def _indexes(benchmark: DataFrame, similarity: float, block_chars: int) -> tuple[int, Iterator[Index]]:
+    """The number of blocks of bounded text that the items are cut into by a hash, and their
+    indexes, each made when it is asked for. A benchmark of usual size is one block."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
     place = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [sorted(((r["item_id"], r["text"]) for r in items.where(place == b).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1] or "")) for b in range(n)]
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    return n, (Index(sorted(((r["item_id"], r["text"]) for r in items.where(place == b).collect()), key=order), similarity) for b in range(n))
+
+
+def _found(index: Index, texts: list[str | None]) -> list[tuple[set[int | None], float | None]]:
+    """Of each text the ids of the items in it, and the best similarity."""
+    out = []
+    for found in index.matches(texts):
+        out.append(({index.ids[n][i] for n, i in found}, max((1 - d / n for (n, _), d in found.items()), default=None)))
+    return out
+
+
+def _pass(rows: DataFrame, index: Index, only_hits: bool) -> DataFrame:
+    """One pass over rows(doc_id, key, text) with one block's index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _found(index, batch.column("text").to_pylist())
+            out = pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array([b is not None for _, b in found], pa.bool_()), pa.array([sorted(x for x in s if x is not None) for s, _ in found], pa.list_(pa.int64())), pa.array([b for _, b in found], pa.float64())],
+                ["doc_id", "key", "contaminated", "item_ids", "best_similarity"],
+            )
+            yield out.filter(out.column("contaminated")) if only_hits else out
+
+    return rows.mapInArrow(run, "doc_id long, key long, contaminated boolean, item_ids array<long>, best_similarity double")
+
+
+def _hits(rows: DataFrame, indexes: Iterator[Index]) -> DataFrame:
+    """What all blocks found, one pass each: a row for each contaminated (doc_id, key).
+
+    A block's index is on the driver while its pass runs, and no longer.
+    """
+    found = [checkpointed(_pass(rows, index, only_hits=True)) for index in indexes]
+    both = reduce(DataFrame.unionByName, found)
+    return both.groupBy(F.col("doc_id").alias("id"), F.col("key").alias("k")).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"), F.max("best_similarity").alias("best_similarity"))
 
 
-def indexes(benchmark: DataFrame, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> list[Index]:
-    return [Index(items, similarity) for items in _blocks(benchmark, block_chars)]
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("key"), *(more or [text.alias("text")]))
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> (doc_id, contaminated, item_ids, best_similarity).
 
     item_ids is sorted and without repeats; best_similarity is 1 - distance / words of
-    the nearest item, null without one. Null and empty texts, and empty tables, give no
-    match. Row for row: repeated rows and null ids stay; other columns are ignored.
+    the nearest item, null without one; ties are all listed. Items of one to four words
+    have to occur word for word; items without words are never found. Null and empty texts,
+    and empty tables, give no match. Row for row: repeated rows and null ids stay; other
+    columns are ignored. A benchmark over block_chars is looked for block by block, and
+    rows then get their blocks' results by (doc_id, 64-bit hash of the text).
     """
     prepare(docs.sparkSession)
-    known = indexes(benchmark, similarity, block_chars)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            ids: list[set] = [set() for _ in texts]
-            best: list[float | None] = [None] * len(texts)
-            for index in known:
-                for d, found in enumerate(index.matches(texts)):
-                    for (n, i), distance in found.items():
-                        ids[d].add(index.ids[n][i])
-                        best[d] = max(best[d] or 0.0, 1 - distance / n)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([b is not None for b in best], pa.bool_()), pa.array([sorted(x for x in s if x is not None) for s in ids], pa.list_(pa.int64())), pa.array(best, pa.float64())], ["doc_id", "contaminated", "item_ids", "best_similarity"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, contaminated boolean, item_ids array<long>, best_similarity double")
+    n, indexes = _indexes(benchmark, similarity, block_chars)
+    rows = _keyed(docs)
+    if n == 1:
+        return _pass(rows, next(indexes), only_hits=False).drop("key")
+    own = _keyed(docs, F.lit(1).alias("one"))
+    joined = own.join(_hits(rows, indexes), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left")
+    return joined.select("doc_id", F.col("best_similarity").isNotNull().alias("contaminated"), F.coalesce("item_ids", F.array().cast("array<long>")).alias("item_ids"), "best_similarity")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs that no item contaminates, with all their columns."""
+    """The rows of docs that no item contaminates, with all their columns and values.
+
+    Null and empty texts stay; repeated rows stay or go together; an empty benchmark leaves
+    all, an empty table gives an empty one.
+    """
     prepare(docs.sparkSession)
-    known = indexes(benchmark, similarity, block_chars)
+    n, indexes = _indexes(benchmark, similarity, block_chars)
+    if n > 1:
+        hits = _hits(_keyed(docs), indexes)
+        rows = _keyed(docs, packed(docs).alias("row"))
+        return rows.join(hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("key") == F.col("k")), "left_anti").select("row.*")
+    index = next(indexes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            bad = [False] * len(texts)
-            for index in known:
-                bad = [b or bool(f) for b, f in zip(bad, index.matches(texts))]
-            yield batch.filter(pa.array([not b for b in bad], pa.bool_()))
+            found = index.matches(batch.column("text").cast(pa.string()).to_pylist())
+            yield batch.filter(pa.array([not f for f in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_texts(docs, run)

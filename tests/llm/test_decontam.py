@@ -6,7 +6,7 @@ from codeloom.llm import decontam as D
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.llm.frames import AWKWARD, EMPTY, documents
+from tests.llm.frames import AWKWARD, EMPTY, documents, kept_whole
 
 
 def words(rng, n):
@@ -86,7 +86,42 @@ def test_recall_against_brute_force(bench):
 def test_clean_text_stays(bench):
     rng = random.Random(8)
     assert not any(D.Index(bench).matches([" ".join(words(rng, 300)) for _ in range(50)]))
-    assert D.Index([]).matches(["a b c"]) == [{}] and D.Index([(1, "too short"), (2, None)]).matches(["too short"]) == [{}]
+    assert D.Index([]).matches(["a b c"]) == [{}] and D.Index([(2, None), (3, "!")]).matches(["too short", "!"]) == [{}, {}]
+
+
+def test_short_items_are_found_word_for_word(bench):
+    index = D.Index([*bench, (100, "What is the capital"), (101, "forty two"), (102, "Paris"), (103, "forty two"), (104, "the capital is")])
+    texts = ["say: what is the CAPITAL?", "forty, two", "in paris", "what is a capital", "the capital is paris", "", None, bench[0][1] + " paris"]
+    got = [{index.ids[n][i]: d for (n, i), d in f.items()} for f in index.matches(texts)]
+    assert got == [{100: 0}, {101: 0, 103: 0}, {102: 0}, {}, {104: 0, 102: 0}, {}, {}, {0: 0, 102: 0}]
+
+
+@pytest.mark.parametrize("kind", [0, 1, 2])
+def test_recall_at_the_limit_by_kind_of_edit(kind):
+    """Items of 1 to 1,000 words, each with exactly as many edits of one kind as may be, the
+    words put in being the benchmark's own."""
+    rng = random.Random(11)
+    sizes = [1, 2, 4, 5, 9, 14, 22, 40, 59, 120, 350, 1000]
+    items = [(i, words(rng, sizes[i % len(sizes)])) for i in range(3 * len(sizes))]
+    vocabulary = [w for _, ws in items for w in ws]
+    index = D.Index([(i, " ".join(ws)) for i, ws in items])
+    hits, total = {}, {}
+    for i, ws in items:
+        n = len(ws)
+        for _ in range(2 if n > 300 else 6):
+            out = list(ws)
+            for _ in range(int(0.2 * n + 1e-9)):
+                at = rng.randrange(len(out))
+                if kind == 0:
+                    out[at] = rng.choice(vocabulary)
+                elif kind == 1:
+                    del out[at]
+                else:
+                    out.insert(at, rng.choice(vocabulary))
+            found = index.matches([" ".join(["pre"] * 9 + out + ["post"] * 9)])[0]
+            hits[n] = hits.get(n, 0) + (i in [index.ids[m][k] for m, k in found])
+            total[n] = total.get(n, 0) + 1
+    assert all(hits[n] >= 0.95 * total[n] - 1 for n in total) and sum(hits.values()) >= 0.95 * sum(total.values()), (hits, total)
 
 
 def test_frames(spark, bench):
@@ -97,10 +132,10 @@ def test_frames(spark, bench):
     assert got[50]["item_ids"] == [3, 4] and got[50]["best_similarity"] == 1.0
     assert got[51]["contaminated"] and got[51]["item_ids"] == []  # the item has no id
     assert not got[3]["contaminated"] and D.scan(docs, items).count() == len(rows)
-    kept = D.clean(docs, items)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 2
-    blocks = {r["doc_id"]: r["item_ids"] for r in D.scan(docs, items, block_chars=2000).collect()}
-    assert blocks[50] == [3, 4]
+    assert kept_whole(docs, D.clean(docs, items)) == len(rows) - 2
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], tuple(r["item_ids"]), r["best_similarity"])
+    assert sorted(map(key, D.scan(docs, items, block_chars=2000).collect()), key=str) == sorted(map(key, D.scan(docs, items).collect()), key=str)
+    assert kept_whole(docs, D.clean(docs, items, block_chars=2000)) == len(rows) - 2
     assert D.scan(documents(spark, EMPTY), items).count() == 0
     assert not any(r["contaminated"] for r in D.scan(docs, items.limit(0)).collect())
 
