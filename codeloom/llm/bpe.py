@@ -38,6 +38,30 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """Raise unless a tokenizer file says what this module does: byte-level words by the usual
+    pattern, no normaliser, added tokens found as they are, plain BPE, and merges whose
+    products have later merges only."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if spec.get("normalizer") is not None or any(cut.get(k) != v for k, v in plain.items()):
+        raise ValueError("not a byte-level tokenizer without a normaliser")
+    if (spec.get("decoder") or {}).get("type") != "ByteLevel":
+        raise ValueError("not a byte-level decoder")
+    if model["type"] != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        raise ValueError("not plain BPE")
+    if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
+        raise ValueError("added tokens have to be found as they are")
+    # A merge that makes a token comes before all that use it, so that rounds by lowest rank
+    # and merging one pair at a time agree.
+    made: dict[str, int] = {}
+    for rank, merge in enumerate(model["merges"]):
+        a, b = merge.split(" ") if isinstance(merge, str) else merge
+        if any(len(x) > 1 and x not in made for x in (a, b)):
+            raise ValueError(f"merge {rank} uses a token that no merge before it makes")
+        made.setdefault(a + b, rank)
+
+
 class ByteBPE:
     """Encoder and decoder of a tokenizer file of kind byte-level BPE."""
 
@@ -46,6 +70,7 @@ class ByteBPE:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         vocab, of = spec["model"]["vocab"], byte_symbols()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         size = 1 + max([*vocab.values(), *self.special.values()])
