@@ -17,6 +17,7 @@ values up to u takes about n * (2 + log2(u / n)) bits; a sampled select table an
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import checkpoint_folder, partitions, prepare
 
 MAGIC = b"CLTOK01\0"
-#: Ids from which a block is closed; a block ends with a whole document.
-BLOCK_IDS = 1 << 19
+#: Ids and documents from which a block is closed; a block ends with a whole document.
+BLOCK_IDS, BLOCK_DOCS = 1 << 19, 1 << 16
 #: One select sample for so many values.
 SAMPLE = 256
 
@@ -48,21 +49,22 @@ class EliasFano:
     def of(cls, values: np.ndarray) -> EliasFano:
         v = np.asarray(values, np.uint64)
         n = len(v)
-        if n and (np.diff(v.astype(np.int64)) < 0).any():
+        if (v[1:] < v[:-1]).any():
             raise ValueError("values must not decrease")
         top = int(v[-1]) if n else 0
         width = max(0, (top // n).bit_length() - 1) if n else 0
-        at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
+        at = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)  # at most 3 n
         bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         bits[at] = 1
+        # Bit by bit: `width` bytes a value, of at most BLOCK_DOCS values in a block.
         lows = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel() if width else np.zeros(0, np.uint8)
         return cls(n, width, np.packbits(bits, bitorder="little"), np.packbits(lows, bitorder="little"), at[::SAMPLE].astype(np.uint32))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
-            return np.zeros(len(i), np.int64)
+            return np.zeros(len(i), np.uint64)
         at = i[:, None] * self.width + np.arange(self.width)
-        return (((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.int64) << np.arange(self.width)).sum(axis=1)
+        return (((self.low[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(np.uint64) << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
     def select(self, i: int) -> int:
         """Value i, reading from the nearest sample on."""
@@ -79,12 +81,15 @@ class EliasFano:
         for _ in range(need - 1):
             word &= word - 1
         at = byte * 8 + (word & -word).bit_length() - 1
-        return ((at - i) << self.width) + int(self._low(np.array([i]))[0])
+        # The low bits of value i, out of the bytes that hold them.
+        first, last = i * self.width, (i + 1) * self.width
+        low = int.from_bytes(self.low[first >> 3 : (last + 7) >> 3], "little") >> (first & 7) & ((1 << self.width) - 1)
+        return ((at - i) << self.width) + low
 
     def all(self) -> np.ndarray:
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
         i = np.arange(self.n)
-        return ((at - i) << self.width) + self._low(i)
+        return ((at - i).astype(np.uint64) << np.uint64(self.width)) + self._low(i)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.width, len(self.high), len(self.low)], "<u4")
@@ -125,25 +130,53 @@ class Block:
         self.nulls, self.least = nulls, least
 
     def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.docs.all() + self.least).tolist()
+        return [None] * self.nulls + [x + self.least for x in self.docs.all().tolist()]
+
+    def bounds(self, i: int) -> tuple[int, int]:
+        """Where the ids of document i start and end, by select."""
+        return self.ends.select(i - 1) if i else 0, self.ends.select(i)
 
     def document(self, i: int) -> np.ndarray:
-        return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
+        start, stop = self.bounds(i)
+        return self.ids[start:stop]
 
 
+#: How the tokenizers that may be cut at blanks cut words.
+_WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: A letter, one of these and a blank: the library cuts between the first two.
 _STOP = r"([A-Za-z])([.,;:!?])([ \n]|$)"
 #: Pieces kept with their ids in a worker; beyond that they are forgotten.
 CACHE_PIECES = 800_000
 
 
+def cuts_at_blanks(spec: dict) -> bool:
+    """A tokenizer file says that white space and case are dropped, that no word crosses
+    white space or goes from letters to punctuation, and that nothing looks at whole texts."""
+    steps = lambda part, many: [] if part is None else part.get(many, [part])
+    normal = steps(spec.get("normalizer"), "normalizers")
+    blanks = [n for n in normal if n["type"] == "Replace"]
+    cut = steps(spec.get("pre_tokenizer"), "pretokenizers")
+    return (
+        [n["type"] for n in normal if n["type"] != "Replace"] == ["NFC", "Lowercase"]
+        and [(n["pattern"], n["content"]) for n in blanks] == [({"Regex": r"\s+"}, " ")]
+        and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+        and cut[0]["pattern"] == {"Regex": _WORD_PATTERN}
+        and (cut[0]["behavior"], cut[0]["invert"]) == ("Removed", True)
+        and not cut[1]["add_prefix_space"]
+        and not cut[1]["use_regex"]
+        and spec["model"]["type"] == "BPE"
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+    )
+
+
 class PieceEncoder:
     """The library's tokenizer over pieces between blanks, with what it said of them.
 
     For tokenizers that drop white space and case, whose words never cross white space or
     go from letters to punctuation: the library encodes each distinct piece once, and
     whole texts are put together from that. Cutting, lower-casing A-Z and finding distinct
-    pieces are Arrow's kernels.
+    pieces are Arrow's kernels. Whether a tokenizer is one of those its file says; any other
+    one encodes whole texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -156,6 +189,8 @@ class PieceEncoder:
         self.tokenizer.no_padding()
         #: Special tokens are found before case is dropped, so texts that would only look like them afterwards keep theirs.
         self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
+        with open(path, encoding="utf-8") as f:
+            self.by_pieces = cuts_at_blanks(json.load(f))
         self.known: dict[str, bytes] = {}
 
     def pieces(self, texts: pa.Array) -> pa.Array:
@@ -171,6 +206,9 @@ class PieceEncoder:
         """The library's ids of each text, and then end."""
         if not texts:
             return []
+        tail = [] if end is None else [np.array([end], np.uint32)]
+        if not self.by_pieces:
+            return [np.concatenate([np.array(e.ids, np.uint32), *tail]) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
         known = self.known
@@ -189,7 +227,6 @@ class PieceEncoder:
         first = (np.cumsum(sizes) - sizes)[at] - (stops - lengths)
         flat = ids[np.repeat(first, lengths) + np.arange(int(stops[-1]) if len(stops) else 0)]
         ends = np.append(0, stops)[lists.offsets.to_numpy()].tolist()
-        tail = [] if end is None else [np.array([end], np.uint32)]
         return [np.concatenate([flat[a:b], *tail]) if tail else flat[a:b] for a, b in zip(ends, ends[1:])]
 
 
@@ -208,7 +245,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = None) -> No
 
     Documents are dealt by ranges of doc_id and sorted there by (doc_id, text); null ids
     come first and null texts count as empty. Other columns are ignored; an empty table
-    gives a store without blocks. A task that is run again writes the same blocks, and
+    gives a store without blocks. Ids may lie anywhere in 64 bits; without an end id empty
+    texts have no ids, and blocks are closed by their documents. A task that is run again writes the same blocks, and
     only a committed task's files count.
     """
     prepare(docs.sparkSession)
@@ -231,7 +269,7 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = None) -> No
                 names.append(d)
                 ids.append(x)
                 size += len(x)
-                if size >= BLOCK_IDS:
+                if size >= BLOCK_IDS or len(ids) >= BLOCK_DOCS:
                     yield flush()
         if ids:
             yield flush()
@@ -254,11 +292,11 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         for batch in batches:
             for part, block, raw in zip(batch.column("part").to_pylist(), batch.column("block").to_pylist(), batch.column("data")):
                 opened = Block(raw.as_py())
-                ends = opened.ends.all().tolist()
-                starts = [0, *ends][:-1] if ends else []
-                wide = opened.ids.astype("<u4").tobytes()
-                crc = [zlib.crc32(memoryview(wide)[4 * a : 4 * b]) for a, b in zip(starts, ends)]
                 n = opened.n
+                ends = [opened.ends.select(i) for i in range(n)]
+                starts = [0, *ends][:-1]
+                wide = memoryview(opened.ids.astype("<u4").tobytes())
+                crc = [zlib.crc32(wide[4 * a : 4 * b]) for a, b in zip(starts, ends)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(opened.doc_ids(), pa.int64()), pa.array([part] * n, pa.int64()), pa.array([block] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array([b - a for a, b in zip(starts, ends)], pa.int64()), pa.array(crc, pa.int64())],
                     ["doc_id", "part", "block", "within", "n_tokens", "ids_crc32"],

@@ -80,6 +80,30 @@ def test_elias_fano(values):
         sequence.select(len(values))
 
 
+def test_elias_fano_of_wide_values():
+    wide = [0, 1, 1 << 62, (1 << 63) + 5, (1 << 64) - 1]
+    sequence = token_store.EliasFano.from_bytes(token_store.EliasFano.of(np.array(wide, np.uint64)).to_bytes())
+    assert sequence.all().tolist() == wide == [sequence.select(i) for i in range(5)]
+    ids = [-(1 << 63), -1, 0, (1 << 63) - 1]
+    block = token_store.Block(token_store.pack([None, *ids], [np.array([i], np.uint32) for i in range(5)]))
+    assert block.doc_ids() == [None, *ids] and [block.document(i).tolist() for i in range(5)] == [[0], [1], [2], [3], [4]]
+
+
+def test_blocks_close_without_ids(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_store, "BLOCK_DOCS", 16)
+    folder = str(tmp_path / "s")
+    token_store.write(documents(spark, [(i, "") for i in range(200)]), WORD, folder)
+    assert spark.read.parquet(folder).agg({"n_docs": "max"}).first()[0] <= 16
+    assert sorted(map(tuple, token_store.read(spark, folder).collect())) == [(i, 0, 0, 0) for i in range(200)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    library = Tokenizer.from_file(BYTE)
+    texts = ["Some  Text, with\n\nblanks ", "", "<|endoftext|> I'll"]
+    assert not token_store.PieceEncoder(BYTE).by_pieces and token_store.PieceEncoder(WORD).by_pieces
+    assert [x.tolist() for x in token_store.encode_texts(BYTE, texts, None)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_elias_fano_is_small():
     ends = np.cumsum(np.random.default_rng(0).integers(1, 1500, 10_000))
     assert len(token_store.EliasFano.of(ends).to_bytes()) < 10_000 * 13 / 8 + 1000
@@ -115,3 +139,16 @@ def test_store(spark, tmp_path, monkeypatch, block_ids):
 def test_empty_store(spark, tmp_path):
     token_store.write(documents(spark, EMPTY), WORD, str(tmp_path / "s"), end=2)
     assert token_store.read(spark, str(tmp_path / "s")).count() == 0
+
+
+def test_other_files_are_refused():
+    import json
+
+    with open(BYTE, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"decoder": None}, {"model": spec["model"] | {"byte_fallback": True}}, {"added_tokens": [spec["added_tokens"][0] | {"lstrip": True}]}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        with pytest.raises(ValueError):
+            bpe.check(spec | change)
+    with pytest.raises(ValueError):
+        bpe.ByteBPE(WORD)
