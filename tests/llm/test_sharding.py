@@ -46,15 +46,41 @@ def check(rows, shards, k=24):
         assert where.setdefault((r["size"], r["text_crc32"]), r["shard"]) == r["shard"]
 
 
-@pytest.mark.parametrize("unit", [50_000, 7])
-def test_groups_and_slots(spark, monkeypatch, unit):
+@pytest.mark.parametrize("unit, parts", [(50_000, 2000), (7, 3)])
+def test_groups_and_slots(spark, monkeypatch, unit, parts):
     monkeypatch.setattr(sharding, "UNIT_GROUPS", unit)
+    monkeypatch.setattr(sharding, "UNIT_PARTS", parts)
     monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
     rng = random.Random(3)
     rows = [(i, "copy" * 3 if i % 3 == 0 else "".join(rng.choices("abc é", k=rng.randrange(400)))) for i in range(600)]
     check(rows, sharding.shards(documents(spark, rows)).collect())
 
 
+def test_repeated_rows_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 5)
+    rows = [(None, "same")] * 200 + [(7, "same")] * 33 + [(i, f"text {i}") for i in range(100)]
+    check(rows, sharding.shards(documents(spark, rows)).collect())
+
+
+def test_levels_balance_like_differencing_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, "x" * rng.randrange(1, 3000) + str(i)) for i in range(1500)]
+    spread = lambda sums: max(sums) - min(sums)
+    weights = [len(t) + 8 for _, t in rows]
+    whole = Counter()
+    for w, b in zip(weights, sharding.difference([[w] for w in weights], 24)):
+        whole[b[0]] += w
+    for unit, parts in ((50_000, 2000), (100, 3)):
+        monkeypatch.setattr(sharding, "UNIT_GROUPS", unit)
+        monkeypatch.setattr(sharding, "UNIT_PARTS", parts)
+        found = sharding.shards(documents(spark, rows)).collect()
+        check(rows, found)
+        sums = Counter()
+        for r in found:
+            sums[r["shard"]] += r["size"]
+        assert spread(sums.values()) <= spread(whole.values()) + 3000 * (unit < 1500) / 10
+
+
 def test_awkward_rows(spark):
     check(AWKWARD, sharding.shards(documents(spark, AWKWARD)).collect())
     assert sharding.shards(documents(spark, EMPTY)).count() == 0
