@@ -4,6 +4,10 @@ A pair has a chosen and a rejected conversation. Their longest common prefix of
 rendered once as the prompt; what follows is rendered for each side as its completion,
 with the spans that a trainer learns from: what assistants say, up to and with the end
 mark. All of it is column expressions over one grouping by pair.
+
+Texts can't make marks: in a text, < and | with any number of backslashes between them get
+one more, which unescaped() takes away again. In a role, every character but letters,
+digits, _ . and - becomes _.
 """
 
 from __future__ import annotations
@@ -15,6 +19,16 @@ from pyspark.sql import functions as F
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>"
 
 
+def escaped(text: Column) -> Column:
+    """text without any <|."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
+def unescaped(text: Column) -> Column:
+    """What escaped() was given."""
+    return F.regexp_replace(text, r"<\\(\\*)\|", "<$1|")
+
+
 def rendered(role: Column, text: Column) -> Column:
     return F.concat(F.lit(OPEN), role, F.lit(CLOSE), text, F.lit(END + "\n"))
 
@@ -22,7 +36,7 @@ def rendered(role: Column, text: Column) -> Column:
 def _turns(df: DataFrame, side: str) -> DataFrame:
     return df.select(
         F.col("pair_id").cast("long").alias("pair_id"),
-        F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).alias(side),
+        F.struct(F.col("turn").cast("long").alias("turn"), F.regexp_replace(F.coalesce(F.col("role").cast("string"), F.lit("unknown")), r"[^\p{L}\p{N}_.-]", "_").alias("role"), escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).alias(side),
     )
 
 
@@ -48,7 +62,8 @@ def preferences(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     (pair_id, n_prompt_turns, prompt, chosen, rejected, chosen_spans, rejected_spans).
 
     Turns are ordered by (turn, role, text), so ties and repeated rows have one place
-    each; null roles read "unknown", null texts "", null turns come first. Rows of null
+    each; null roles read "unknown", null texts "", null turns come first. Texts and roles are
+    escaped, so that none of them can start or end a turn. Rows of null
     pair ids are one pair. A pair with one side has an empty prompt unless it is empty
     itself; equal sides are all prompt, with empty completions. Empty tables give an empty
     one; other columns are ignored. One output row holds one pair, so a task needs memory

@@ -88,9 +88,10 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
   NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_symbols <= n_words AND 2 * n_dup_lines <= n_lines AND 10 * caps <= 3 * n_words AND 10 * most <= 3 * n_words AND 10 * lettered >= 6 * n_words AND 10 * bullets <= 9 * n_lines AS kept
 FROM base"""
 _OP7 = """
-WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, role AS r, coalesce(text, '') AS text, row_number() OVER w AS pos, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+WITH t AS (SELECT conv_id, regexp_replace(coalesce(role, 'unknown'), '[^\\p{L}\\p{N}_.-]', '_', 'g') AS role, role AS r, coalesce(text, '') AS text, row_number() OVER w AS pos, lag(text) OVER w AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 last AS (SELECT conv_id, max(pos) FILTER (r = 'assistant') AS p FROM t GROUP BY conv_id),
-sides AS (SELECT t.conv_id, role, pos, text AS c, CASE WHEN pos = p THEN coalesce(before, '') ELSE text END AS r FROM t JOIN last USING (conv_id)),
+said AS (SELECT t.conv_id, role, pos, text AS c, CASE WHEN pos = p THEN coalesce(before, '') ELSE text END AS r FROM t JOIN last USING (conv_id)),
+sides AS (SELECT conv_id, role, pos, regexp_replace(c, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS c, regexp_replace(r, '<(\\\\*)\\|', '<\\\\\\1|', 'g') AS r FROM said),
 cut AS (SELECT conv_id, coalesce(min(pos) FILTER (c <> r), max(pos) + 1) AS d FROM sides GROUP BY conv_id),
 parts AS (SELECT conv_id, pos, d, role, '<|' || role || '|>' || chr(10) || c || '<|end|>' || chr(10) AS cr, '<|' || role || '|>' || chr(10) || r || '<|end|>' || chr(10) AS rr, length(c) + 7 AS cn, length(r) + 7 AS rn FROM sides JOIN cut USING (conv_id))
 SELECT conv_id AS pair_id, d - 1 AS n_prompt_turns,
