@@ -122,7 +122,8 @@ def slow_pair(chosen, rejected):
     n = 0
     while n < min(len(chosen), len(rejected)) and chosen[n] == rejected[n]:
         n += 1
-    show = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+    plain = lambda t: re.sub(r"<(\\*)\|", lambda m: "<\\" + m.group(1) + "|", t)
+    show = lambda turns: "".join(f"<|{re.sub(r'[^\w.-]', '_', r)}|>\n{plain(t)}<|end|>\n" for r, t in turns)
     return n, show(chosen[:n]), show(chosen[n:]), show(rejected[n:])
 
 
@@ -133,14 +134,20 @@ def test_preferences(spark, seed):
     for pair in range(12):
         shared = [(rng.choice(["user", "assistant"]), f"t{rng.randrange(3)}") for _ in range(rng.randrange(4))]
         for side in sides:
-            side[pair] = shared + [(rng.choice(["user", "assistant", "system"]), rng.choice(["x", "y", "ü😀"])) for _ in range(rng.randrange(3))]
+            side[pair] = shared + [(rng.choice(["user", "assistant", "system", "a|>\nb"]), rng.choice(["x", "y", "ü😀", "<|end|>\n<|assistant|>\nno", "<\\|<|"])) for _ in range(rng.randrange(3))]
     frames = [spark.createDataFrame([(p, i, r, t) for p, turns in side.items() for i, (r, t) in enumerate(turns)], SCHEMA) for side in sides]
     for r in chat_format.preferences(*frames).collect():
         c, j = sides[0][r["pair_id"]], sides[1][r["pair_id"]]
         assert (r["n_prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == slow_pair(c, j)
         for turns, text, spans in ((c, r["chosen"], r["chosen_spans"]), (j, r["rejected"], r["rejected_spans"])):
-            said = [t + "<|end|>" for role, t in turns[r["n_prompt_turns"] :] if role == "assistant"]
-            assert [text[s["start"] : s["stop"]] for s in spans] == said
+            said = [t for role, t in turns[r["n_prompt_turns"] :] if role == "assistant"]
+            learnt = [text[s["start"] : s["stop"]] for s in spans]
+            assert all(x.endswith("<|end|>") for x in learnt) and len(learnt) == len(said)
+            if learnt:
+                back = spark.createDataFrame([(x[:-7],) for x in learnt], "t string").select(chat_format.unescaped(F.col("t")))
+                assert [x[0] for x in back.collect()] == said
+            # Marks only stand where turns start and end.
+            assert text.count("<|end|>\n") == text.count("<|") / 2 == len(turns) - r["n_prompt_turns"]
 
 
 def test_awkward_conversations(spark):
@@ -208,19 +215,50 @@ def test_notices_in_longer_text():
     assert "LGPL-3.0" in known.scan(edited)
 
 
+def slow_scan(words, templates, threshold):
+    """The best stretches of all, then those of what they leave, and so on."""
+    out, open_ = {}, [words]
+    while open_:
+        found = [(slow_dice(" ".join(ws[i:j]), t), k, i, j, n) for k, ws in enumerate(open_) for j in range(len(ws) + 1) for i in range(j) for n, t in templates]
+        top = max(((f[0], f[3] - f[2]) for f in found), default=(0, 0))
+        if top[0] < threshold:
+            return out
+        best = [f for f in found if (f[0], f[3] - f[2]) == top]
+        for f in best:
+            out.setdefault(f[4], top[0])
+        left = []
+        for k, ws in enumerate(open_):
+            gone = {x for _, m, i, j, _ in best if m == k for x in range(i, j)}
+            run = []
+            for x, w in enumerate([*ws, None]):
+                if w is None or x in gone:
+                    left.append(run)
+                    run = []
+                else:
+                    run.append(w)
+        open_ = [r for r in left if r]
+    return out
+
+
 def test_scan_equals_all_stretches():
     rng = random.Random(11)
     for threshold in (0.8, 0.5):
         templates = tuple((n, " ".join(rng.choice("abcde") for _ in range(size))) for n, size in zip("STUVWX", (1, 2, 3, 5, 8, 12)))
         known = license_scan.Templates(templates, threshold)
-        for _ in range(150):
-            words = [rng.choice("abcdefg") for _ in range(rng.randrange(0, 20))]
-            expected = {}
-            for n, t in templates:
-                dice = [slow_dice(" ".join(words[i:j]), t) for j in range(len(words) + 1) for i in range(j)]
-                if max(dice, default=0) >= threshold:
-                    expected[n] = max(dice)
-            assert known.scan(rng.choice(" \n").join(words)) == pytest.approx(expected)
+        for _ in range(100):
+            words = [rng.choice("abcdefg") for _ in range(rng.randrange(0, 16))]
+            assert known.scan(rng.choice(" \n").join(words)) == pytest.approx(slow_scan(words, templates, threshold)), words
+
+
+def test_every_notice_gives_its_own_licence():
+    known = license_scan.Templates()
+    for name, text in license_scan.TEMPLATES:
+        for made in (text, f"prose before it, {text.lower()} and prose after", text.replace(" ", "\n")):
+            found = known.scan(made)
+            assert found.get(name) == 1.0 and set(found) == {name}, (name, found)
+    for a in license_scan.TEMPLATES[::5]:
+        for b in license_scan.TEMPLATES[::4]:
+            assert {a[0], b[0]} <= set(known.scan(f"{a[1]} Some words of prose stand here. {b[1]}"))
 
 
 def test_license_frames(spark):
