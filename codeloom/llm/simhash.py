@@ -20,6 +20,7 @@ this.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -109,14 +110,23 @@ def _keys(fp: Column, start: int, length: int, flips: int) -> Column:
     return F.transform(masks, lambda m: F.struct(F.lit(start).cast("tinyint").alias("start"), fp.bitwiseXOR(m).bitwiseAND(chain).alias("value")))
 
 
-def _chain(x: Column, start: Column) -> Column:
-    """All chains from start keep to their budgets."""
+def _of_start(start: Column, of: list[Column]) -> Column:
+    return F.coalesce(*[F.when(start == i, c) for i, c in enumerate(of)])
+
+
+def _first_chain(x: Column, start: Column) -> Column:
+    """All chains from start keep to their budgets, and those of no start before do."""
     d = [F.bit_count(_segment(x, i)) for i in range(5)]
     ok = [(d[i] == 0) & (d[i] + d[(i + 1) % 5] <= 1) & (d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] <= 2) & (d[i] + d[(i + 1) % 5] + d[(i + 2) % 5] + d[(i + 3) % 5] <= 3) for i in range(5)]
-    out = F.lit(False)
-    for i in range(5):
-        out = F.when(start == i, ok[i]).otherwise(out)
-    return out
+    return _of_start(start, [reduce(lambda c, before: c & ~before, ok[:i], ok[i]) for i in range(5)])
+
+
+def _first_key(fp: Column, x: Column, start: Column, value: Column) -> Column:
+    """Of the keys at which two fingerprints that differ by x meet, one: fp's side of it flips
+    the lowest of two differing bits in the chain, and nothing if fewer differ."""
+    mask = _of_start(start, [F.lit(_signed(_chain_mask(i, CHAIN))).cast("long") for i in range(5)])
+    own, d = fp.bitwiseAND(mask), x.bitwiseAND(mask)
+    return value.bitwiseXOR(own) == F.when(F.bit_count(d) == 2, d.bitwiseAND(-d)).otherwise(F.lit(0).cast("long"))
 
 
 def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
@@ -124,7 +134,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
 
     A fingerprint has many keys, each once, so even a key that all share holds less than a
     hundredth of the keyed rows. Those are counted by a window, which spills; only keys with
-    more than one member are kept.
+    more than one member are kept. Two fingerprints share several keys, but are a pair at
+    one of them only.
     """
     # The input is small beside its keys: it is dealt before these are made.
     dealt = distinct.repartition(partitions(distinct), "fp")
@@ -134,7 +145,8 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     few = shared.where(F.col("n") <= crowd)
     x = F.col("fp").bitwiseXOR(F.col("other"))
     met = few.select("start", "value", "fp").join(few.select("start", "value", F.col("fp").alias("other")), ["start", "value"])
-    pairs = met.where((F.col("fp") < F.col("other")) & (F.bit_count(x) <= TAU) & _chain(x, F.col("start"))).select(F.col("fp").alias("u"), F.col("other").alias("v"))
+    once = _first_chain(x, F.col("start")) & _first_key(F.col("fp"), x, F.col("start"), F.col("value"))
+    pairs = met.where((F.col("fp") < F.col("other")) & (F.bit_count(x) <= TAU) & once).select(F.col("fp").alias("u"), F.col("other").alias("v"))
     crowds = shared.where(F.col("n") > crowd).select("start", "fp").distinct()
     return pairs if crowds.isEmpty() else pairs.unionByName(_crowd_links(crowds))
 
