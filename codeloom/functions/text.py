@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,17 +11,28 @@ from pyspark.sql import functions as F
 SOURCE_RANK = {"input": 0, "entrypoint": 1, "top-method": 1, "branch": 2, "assignment": 3, "state": 4, "call": 5, "callee": 6, "return": 7}
 #: Caps of the report.
 ENTRYPOINTS, FLOWS, STEPS, LABEL, HEADER_LINES = 21, 5, 16, 140, 8
-_BLANKS = r"[ \t\x0B\f\r\n\x{A0}\x{FEFF}]"
-_CONTROL = r"^(if|elseif|else if|for|while|switch|case|function|async function|end\b|\})"
+#: The characters that are cut off the ends of lines.
+BLANKS = " \t\x0b\f\r\n\xa0\ufeff"
+#: How lines begin that steer the flow and so are no steps; `end` as a whole word only.
+CONTROL = ("if", "elseif", "else if", "for", "while", "switch", "case", "function", "async function", "}")
+#: Words before an assigned name, and how names end that stand for state.
+DECLARATORS, STORES = ("const", "let", "var", "local"), ("ById", "ByKey", "Map", "Set")
+#: What stands around the condition of a branching line, from the end of its head on.
+_AROUND = {"then": r"\s+(.+?)\s+then\b", "brackets": r"\s*\((.+)\)", "colon": r"\s+(.+):"}
+#: Branching lines, the first that fits counts: kind, how the line can begin,
+#: its head, and what is around the condition.
+BRANCHES = (
+    ("elseif", ("elseif",), "elseif", "then"),
+    ("if", ("if",), "if", "then"),
+    ("elseif", ("else", "}"), r"(?:\}\s*)?else\s+if", "brackets"),
+    ("if", ("if",), "if", "brackets"),
+    ("switch", ("switch",), "switch", "brackets"),
+    ("case", ("case",), "case", "colon"),
+)
 
 
 def trim(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{_BLANKS}+|{_BLANKS}+$", "")
-
-
-def collapse(text: Column) -> Column:
-    """Trimmed, with one space for each run of blanks."""
-    return F.regexp_replace(trim(text), r"\s+", " ")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def last_segment(name: Column) -> Column:
@@ -48,67 +61,81 @@ def lines(files: DataFrame, text: str = "text", path: str = "path") -> DataFrame
     return files.select(F.col(path).alias("file_path"), F.posexplode(parts).alias("n", "code")).select("file_path", (F.col("n") + 1).cast("long").alias("line"), "code")
 
 
-def _match(line: Column, pattern: str) -> Column:
-    """The first group of a pattern; null where it doesn't match."""
-    return F.when(line.rlike(pattern), F.regexp_extract(line, pattern, 1))
+def _begins(line: Column, words: tuple[str, ...]) -> Column:
+    return reduce(Column.__or__, [line.startswith(w) for w in words])
+
+
+def whole_word(line: Column, word: str) -> Column:
+    """line starts with a word that ends there."""
+    return line.startswith(word) & ~F.substr(line, F.lit(len(word) + 1), F.lit(1)).rlike(r"\w")
+
+
+def before(text: Column, mark: str) -> Column:
+    """What stands before the first mark; all of it if there is none."""
+    return F.substring_index(text, mark, 1)
+
+
+def after(text: Column, mark: str) -> Column:
+    """What follows the first mark; null if there is none."""
+    at = F.instr(text, mark)
+    return F.when(at > 0, F.substr(text, at + len(mark)))
 
 
 def conditional(line: Column) -> Column:
-    """What stands before a ? that a : follows, without a leading return; else null."""
-    question = F.instr(line, "?")
-    found = (question > 1) & (F.locate(":", F.substr(line, question + 1)) > 0)
-    return F.when(found, trim(F.regexp_replace(F.substr(line, F.lit(1), F.greatest(question - 1, F.lit(0))), r"^return\s+", "")))
+    """The question of `question ? one : other`, without a return before it; else null."""
+    asked = before(line, "?")
+    return F.when((asked != "") & after(line, "?").contains(":"), trim(F.regexp_replace(asked, r"^return\s+", "")))
 
 
 def branch(line: Column) -> Column:
-    """struct(kind, condition) of a trimmed branching line, the first form that fits; else null."""
-    forms = [
-        ("elseif", _match(line, r"^elseif\s+(.+?)\s+then\b")),
-        ("if", _match(line, r"^if\s+(.+?)\s+then\b")),
-        ("elseif", _match(line, r"^\}\s*else\s+if\s*\((.+)\)")),
-        ("elseif", _match(line, r"^else\s+if\s*\((.+)\)")),
-        ("if", _match(line, r"^if\s*\((.+)\)")),
-        ("switch", _match(line, r"^switch\s*\((.+)\)")),
-        ("case", _match(line, r"^case\s+(.+):")),
-        ("conditional", conditional(line)),
-    ]
-    return F.coalesce(*[F.when(found.isNotNull(), F.struct(F.lit(kind).alias("kind"), trim(found).alias("condition"))) for kind, found in forms])
+    """struct(kind, condition) of a trimmed branching line, the first form that fits; else null.
+
+    A form is looked for only in lines that begin like it.
+    """
+    found = [(kind, F.when(_begins(line, starts), F.nullif(F.regexp_extract(line, f"^{head}{_AROUND[around]}", 1), F.lit("")))) for kind, starts, head, around in BRANCHES]
+    return F.coalesce(*[F.when(c.isNotNull(), F.struct(F.lit(kind).alias("kind"), trim(c).alias("condition"))) for kind, c in [*found, ("conditional", conditional(line))]])
 
 
 def summary(code: Column) -> Column:
-    """Without a trailing ; or , trimmed and cut to 140 characters."""
-    return F.substring(trim(F.regexp_replace(code, r"[;,]\s*$", "")), 1, LABEL)
+    """Trimmed, without one closing ; or , and cut to 140 characters."""
+    bare = trim(code)
+    return F.substring(F.when(bare.endswith(";") | bare.endswith(","), trim(F.substr(bare, F.lit(1), F.length(bare) - 1))).otherwise(bare), 1, LABEL)
 
 
 def is_control(line: Column) -> Column:
-    return line.rlike(_CONTROL)
+    return _begins(line, CONTROL) | whole_word(line, "end")
 
 
-def assignment(line: Column) -> Column:
-    """`target = value` of a trimmed assignment line; else null."""
-    pattern = r"""^(?:const|let|var|local)?\s*([\w$.\[\]'"]+)(?:\s*:\s*[^=({]+)?\s*=\s*(.+)$"""
-    fits = ~is_control(line) & ~line.contains("=>") & ~line.rlike(r"^[\w$.]+[:.][\w$]+\s*\(") & line.rlike(pattern)
-    return F.when(fits, F.concat(F.regexp_extract(line, pattern, 1), F.lit(" = "), summary(F.regexp_extract(line, pattern, 2))))
+def called(line: Column) -> Column:
+    """What stands before the first bracket, if that could be a name; else null."""
+    name = F.rtrim(before(line, "("))
+    return F.when(line.contains("(") & name.rlike(r"^[\w$.:]+$"), name)
 
 
-def is_state(assigned: Column) -> Column:
-    return assigned.rlike(r"^(self|this)\.") | assigned.rlike(r"^\w+(ById|ByKey|Map|Set)\b")
+def is_method(name: Column) -> Column:
+    """A called name of the kind x.name or x:name; false for null."""
+    return F.coalesce(name.rlike(r"^[\w$.]+[:.][\w$]+$"), F.lit(False))
+
 
+def target(left: Column) -> Column:
+    """What is assigned to, of what stands before the =; null if that is no target.
 
-def side_effect(line: Column) -> Column:
-    """A trimmed line that is a call made for its effect; else null."""
-    fits = ~is_control(line) & ~line.rlike(r"^return\b") & line.contains("(") & line.rlike(r"^([\w$.:]+(?:\.[\w$]+)?)\s*\((.*)\)")
-    return F.when(fits, summary(line))
+    A target is one word of name characters, brackets and quotes, after an optional
+    declarator and before an optional type. A declarator's name alone is a target too.
+    """
+    return F.nullif(F.regexp_extract(left, rf"""^(?:(?:{'|'.join(DECLARATORS)})\s*)?([\w$.\[\]'"]+)\s*(?::[^({{]+)?$""", 1), F.lit(""))
 
 
-def returned(line: Column) -> Column:
-    """What a trimmed return line returns, `result` if nothing; else null."""
-    value = summary(F.regexp_replace(line, r"^return\b\s*", ""))
-    return F.when(line.rlike(r"^return\b"), F.when(value == "", F.lit("result")).otherwise(value))
+def is_state(assigned: Column) -> Column:
+    """The target belongs to an object, or its first word is named like a store."""
+    word = F.regexp_extract(assigned, r"^\w+", 0)
+    stores = reduce(Column.__or__, [word.endswith(s) & (F.length(word) > len(s)) for s in STORES])
+    return _begins(assigned, ("self.", "this.")) | stores
 
 
 def parameters(header: Column) -> Column:
-    """Names in the first parentheses of a header, without types and defaults."""
-    inner = F.regexp_extract(header, r"\(([^)]*)\)", 1)
-    names = F.transform(F.split(inner, ","), lambda p: trim(F.regexp_replace(F.regexp_replace(trim(p), r"[?:].*$", ""), r"=.*", "")))
+    """Names in the first brackets of a header, without types and defaults."""
+    inner = after(header, "(")
+    closed = F.when(inner.contains(")"), before(inner, ")")).otherwise("")
+    names = F.transform(F.split(F.coalesce(closed, F.lit("")), ","), lambda p: trim(F.regexp_extract(trim(p), "^[^?:=]*", 0)))
     return F.filter(names, lambda p: p != "")

@@ -58,11 +58,16 @@ def branches(lines: DataFrame, symbols: DataFrame) -> DataFrame:
 
 def line_steps(lines: DataFrame) -> DataFrame:
     """(file_path, line, source, label): what each line does, the first form that fits."""
-    t = F.col("t")
+    t, value, name = F.col("t"), F.col("value"), F.col("name")
     trimmed = lines.select("file_path", "line", text.trim(F.col("code")).alias("t"))
-    parts = trimmed.select("file_path", "line", text.assignment(t).alias("a"), text.side_effect(t).alias("c"), text.returned(t).alias("r"))
-    source = F.when(F.col("a").isNotNull(), F.when(text.is_state(F.col("a")), "state").otherwise("assignment")).when(F.col("c").isNotNull(), "call").when(F.col("r").isNotNull(), "return")
-    return parts.select("file_path", "line", source.alias("source"), F.coalesce("a", "c", "r").alias("label"))
+    cut = trimmed.select("file_path", "line", "t", text.before(t, "=").alias("left"), text.after(t, "=").alias("value"), text.called(t).alias("called"), text.is_control(t).alias("control"), text.whole_word(t, "return").alias("returns"))
+    named = cut.select("*", F.when((value != "") & ~F.col("control") & ~t.contains("=>") & ~text.is_method(F.col("called")), text.target(F.col("left"))).alias("name"))
+    calls = F.col("called").isNotNull() & text.after(t, "(").contains(")") & ~F.col("control") & ~F.col("returns")
+    source = F.when(name.isNotNull(), F.when(text.is_state(name), "state").otherwise("assignment")).when(calls, "call").when(F.col("returns"), "return")
+    said = named.select("file_path", "line", source.alias("source"), "name", F.when(name.isNotNull(), value).when(F.col("returns"), F.substr(t, F.lit(len("return") + 1))).otherwise(t).alias("said"))
+    short = said.select("file_path", "line", "source", "name", text.summary(F.col("said")).alias("said"))
+    label = F.when(F.col("name").isNotNull(), F.concat("name", F.lit(" = "), "said")).when((F.col("source") == "return") & (F.col("said") == ""), "result").otherwise(F.col("said"))
+    return short.select("file_path", "line", "source", F.when(F.col("source").isNotNull(), label).alias("label"))
 
 
 def step_rank(source: Column) -> Column:

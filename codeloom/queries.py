@@ -26,7 +26,6 @@ EXTENDS = "extends AS (SELECT CAST(p_partkey AS VARCHAR) AS child_id, CAST(p_par
 REQUIRES = "requires AS (SELECT DISTINCT f.path AS src_path, CASE WHEN flag = 'R' THEN f.path ELSE g.path END AS dst_path, 'm' || b AS module_name, flag <> 'R' AS is_resolved FROM (SELECT DISTINCT x.l_suppkey AS a, y.l_suppkey AS b, x.l_returnflag AS flag FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1) p JOIN files f ON f.suppkey = a JOIN files g ON g.suppkey = b)"
 SITES = "sites AS (SELECT DISTINCT 'file' || (l_suppkey % (SELECT count(*) FROM supplier)) || '.lua' AS file_path, l_linenumber + CAST(trunc(l_quantity) AS BIGINT) AS line FROM lineitem)"
 LINES = "lines AS (SELECT CAST(doc_id AS VARCHAR) AS file_path, generate_subscripts(parts, 1) AS line, unnest(parts) AS code FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS parts FROM documents))"
-BLANKS = r"[ \t\x0B\f\r\n\x{A0}\x{FEFF}]"
 
 
 def offered(sql: str | None = None) -> Callable[[Query], Query]:
@@ -453,7 +452,7 @@ def snippet_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Texts made to look like code, by line number and length.
 _FORMS = ["if {} then", "elseif {} then x", "}} else if ({}) {{", "if ({}) {{", "switch ({}) {{", "case {}:", "return {} ? a : b", "{}", "local v = {};", "self.x = {},", "go({});", "return {};", "byId.myMap = {}", "return"]
 _CODE_LINE = "CASE (line + length(code)) % 14 " + " ".join(f"WHEN {i} THEN " + " || ".join(f"'{p}'" for p in [f.replace("{{", "{").replace("}}", "}").split("{}")[0]]) + (" || code || '" + f.replace("{{", "{").replace("}}", "}").split("{}", 1)[1].replace("{}", "") + "'" if "{}" in f else "") for i, f in enumerate(_FORMS)) + " END"
-_MADE = f"made AS (SELECT file_path, line, regexp_replace({_CODE_LINE}, '^{BLANKS}+|{BLANKS}+$', '', 'g') AS t FROM lines)"
+_MADE = f"made AS (SELECT file_path, line, trim({_CODE_LINE}, chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(10) || chr(160) || chr(65279)) AS t FROM lines)"
 
 
 def _made_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,15 +465,21 @@ def _made_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("file_path", "line", F.concat(F.element_at(texts(0), F.col("at")), filled, F.element_at(texts(2), F.col("at"))).alias("code"))
 
 
+#: The same characters, as SQL's trim takes them.
+_ENDS = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(10) || chr(160) || chr(65279)"
+
+
 def _sql_trim(x: str) -> str:
-    return f"regexp_replace({x}, '^{BLANKS}+|{BLANKS}+$', '', 'g')"
+    return f"trim({x}, {_ENDS})"
 
 
-def _sql_when(pattern: str, kind: str) -> str:
-    return f"WHEN regexp_matches(t, '{pattern}') THEN struct_pack(k := '{kind}', c := regexp_extract(t, '{pattern}', 1))"
+def _sql_form(kind: str, head: str, rest: str, close: str) -> str:
+    """Of a line that begins with a head: the condition after it, up to the first or last close."""
+    return f"WHEN len(regexp_extract(t, '^{head}{rest}{close}', 1)) > 0 THEN struct_pack(k := '{kind}', c := regexp_extract(t, '^{head}{rest}{close}', 1))"
 
 
-_BRANCH = "CASE " + " ".join([_sql_when(r"^elseif\s+(.+?)\s+then\b", "elseif"), _sql_when(r"^if\s+(.+?)\s+then\b", "if"), _sql_when(r"^\}\s*else\s+if\s*\((.+)\)", "elseif"), _sql_when(r"^else\s+if\s*\((.+)\)", "elseif"), _sql_when(r"^if\s*\((.+)\)", "if"), _sql_when(r"^switch\s*\((.+)\)", "switch"), _sql_when(r"^case\s+(.+):", "case")]) + r" WHEN instr(t, '?') > 1 AND contains(substr(t, instr(t, '?') + 1), ':') THEN struct_pack(k := 'conditional', c := regexp_replace(substr(t, 1, instr(t, '?') - 1), '^return\s+', '')) END"
+_LUA, _JS = (r"[\t\n\f\r ]+(.+?)", r"[\t\n\f\r ]+then(?:\W|$)"), (r"[\t\n\f\r ]*[(](.+)", "[)]")
+_BRANCH = "CASE " + " ".join([_sql_form("elseif", "elseif", *_LUA), _sql_form("if", "if", *_LUA), _sql_form("elseif", r"[}]?[\t\n\f\r ]*else[\t\n\f\r ]+if", *_JS), _sql_form("if", "if", *_JS), _sql_form("switch", "switch", *_JS), _sql_form("case", "case", r"[\t\n\f\r ]+(.+)", ":")]) + " WHEN split_part(t, '?', 1) NOT IN ('', t) AND contains(substr(t, length(split_part(t, '?', 1)) + 2), ':') THEN struct_pack(k := 'conditional', c := CASE WHEN starts_with(t, 'return ') THEN substr(split_part(t, '?', 1), 8) ELSE split_part(t, '?', 1) END) END"
 
 
 @offered(_with(LINES, _MADE, select=f"SELECT file_path, line, b.k AS kind, {_sql_trim('b.c')} AS condition FROM (SELECT *, {_BRANCH} AS b FROM made) WHERE b IS NOT NULL"))
@@ -483,21 +488,20 @@ def line_regex_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("b is not null").select("file_path", "line", "b.kind", "b.condition")
 
 
-_CONTROL = r"^(if|elseif|else if|for|while|switch|case|function|async function|end\b|\})"
-_ASSIGN = r"""^(?:const|let|var|local)?\s*([\w$.\[\]''"]+)(?:\s*:\s*[^=({]+)?\s*=\s*(.+)$"""
-
-
 def _sql_summary(x: str) -> str:
-    return f"substr({_sql_trim(f'regexp_replace({x}, {chr(39)}[;,]\\s*${chr(39)}, {chr(39)}{chr(39)})')}, 1, 140)"
-
-
-_STEP_PARTS = (
-    "parts AS (SELECT *, "
-    f"CASE WHEN NOT regexp_matches(t, '{_CONTROL}') AND NOT contains(t, '=>') AND NOT regexp_matches(t, '^[\\w$.]+[:.][\\w$]+\\s*\\(') AND regexp_matches(t, '{_ASSIGN}') THEN regexp_extract(t, '{_ASSIGN}', 1) || ' = ' || {_sql_summary(f"regexp_extract(t, '{_ASSIGN}', 2)")} END AS assigned, "
-    f"CASE WHEN NOT regexp_matches(t, '{_CONTROL}') AND NOT regexp_matches(t, '^return\\b') AND contains(t, '(') AND regexp_matches(t, '^([\\w$.:]+(?:\\.[\\w$]+)?)\\s*\\((.*)\\)') THEN {_sql_summary('t')} END AS called, "
-    f"CASE WHEN regexp_matches(t, '^return\\b') THEN coalesce(nullif({_sql_summary("regexp_replace(t, '^return\\b\\s*', '')")}, ''), 'result') END AS back FROM made)"
-)
-_STEPS = "steps AS (SELECT file_path, line, coalesce(assigned, called, back) AS label, CASE WHEN assigned IS NOT NULL THEN CASE WHEN regexp_matches(assigned, '^(self|this)\\.') OR regexp_matches(assigned, '^\\w+(ById|ByKey|Map|Set)\\b') THEN 'state' ELSE 'assignment' END WHEN called IS NOT NULL THEN 'call' WHEN back IS NOT NULL THEN 'return' END AS source FROM parts)"
+    return f"substr({_sql_trim(f"CASE WHEN right(rtrim({x}), 1) IN (';', ',') THEN left(rtrim({x}), -1) ELSE {x} END")}, 1, 140)"
+
+
+# A line's words to its first sign, the signs in it, and what each kind of step asks of them.
+_STEP_PARTS = """
+marks AS (SELECT *, list_contains(['if', 'for', 'while', 'switch', 'case', 'function', 'elseif', 'else if', 'async function', '}'], w) AS steers FROM (SELECT m.*, (SELECT max(x) FROM (SELECT unnest(['if', 'for', 'while', 'switch', 'case', 'function', 'elseif', 'else if', 'async function', '}']) AS x) WHERE starts_with(t, x)) AS w, regexp_extract(t, '^[A-Za-z0-9_]*') AS word FROM made m)),
+sides AS (SELECT *, coalesce(steers, false) OR word = 'end' AS control, strpos(t, '=') AS eq, strpos(t, '(') AS br FROM marks),
+names AS (SELECT *, CASE WHEN br > 0 THEN rtrim(left(t, br - 1)) ELSE '' END AS called_name, regexp_extract(CASE WHEN eq > 0 THEN left(t, eq - 1) ELSE '' END, '^(?:(?:const|let|var|local) *)?([A-Za-z0-9_$.\\[\\]''"]+) *(?::[^({]+)?$', 1) AS target FROM sides),
+parts AS (SELECT *,
+  CASE WHEN NOT control AND eq > 0 AND eq < length(t) AND target <> '' AND NOT contains(t, '=>') AND NOT regexp_full_match(called_name, '[A-Za-z0-9_$.]+[:.][A-Za-z0-9_$]+') THEN target || ' = ' || SUMMARY_VALUE END AS assigned,
+  CASE WHEN NOT control AND word <> 'return' AND strpos(substr(t, br + 1), ')') > 0 AND regexp_full_match(called_name, '[A-Za-z0-9_$.:]+') THEN SUMMARY_LINE END AS called,
+  CASE WHEN word = 'return' THEN coalesce(nullif(SUMMARY_REST, ''), 'result') END AS back FROM names)""".replace("SUMMARY_VALUE", _sql_summary("ltrim(substr(t, eq + 1))")).replace("SUMMARY_LINE", _sql_summary("t")).replace("SUMMARY_REST", _sql_summary("ltrim(substr(t, 7))"))
+_STEPS = "steps AS (SELECT file_path, line, coalesce(assigned, called, back) AS label, CASE WHEN assigned IS NOT NULL THEN CASE WHEN split_part(assigned, '.', 1) IN ('self', 'this') AND contains(assigned, '.') OR regexp_matches(regexp_extract(assigned, '^[A-Za-z0-9_]+'), '.(ById|ByKey|Map|Set)$') THEN 'state' ELSE 'assignment' END WHEN called IS NOT NULL THEN 'call' WHEN back IS NOT NULL THEN 'return' END AS source FROM parts)"
 
 
 @offered(_with(LINES, _MADE, _STEP_PARTS, _STEPS, select="SELECT file_path, line, source, label FROM steps WHERE source IS NOT NULL"))
