@@ -6,6 +6,7 @@ import os
 import posixpath
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -108,12 +109,14 @@ def excluded_column(path: Column, patterns: Sequence[str]) -> Column:
     return F.exists(ancestors_column(path), lambda p: glob_column(p, patterns))
 
 
-def supported_column(path: Column) -> Column:
-    return path.rlike(r"\.(lua|js|jsx|ts|tsx)$") & ~path.endswith(".d.ts")
+def supported_column(path: Column, extensions: Sequence[str] = EXTENSIONS) -> Column:
+    """Whether a path has one of the extensions and declares more than types."""
+    return reduce(Column.__or__, [path.endswith(e) for e in extensions]) & ~path.endswith(".d.ts")
 
 
-def is_supported(path: str) -> bool:
-    return path.endswith(EXTENSIONS) and not path.endswith(".d.ts")
+def is_supported(path: str, extensions: Sequence[str] = EXTENSIONS) -> bool:
+    """supported_column() of one path."""
+    return path.endswith(tuple(extensions)) and not path.endswith(".d.ts")
 
 
 def looks_like_path(text: str) -> bool:

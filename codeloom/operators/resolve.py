@@ -23,38 +23,42 @@ def with_language(frame: DataFrame, path: str = "file_path") -> DataFrame:
     return frame.withColumn("language", F.when(F.col(path).endswith(".lua"), "lua").otherwise("js"))
 
 
-def enclosing_scopes(sites: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("file_path", "site")) -> DataFrame:
-    """The narrowest function or method around each site(file_path, line, *keys).
+def _around(sites: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Every site(file_path, line, ...) with each function or method of its file around it.
 
-    Of scopes of one file with start_line <= line <= end_line: the smallest span, then the
-    latest start, then the first symbol. Sites without one are dropped. Instead of all
-    pairs of a file, scopes are dealt into blocks of lines as long as they are (two at
-    most) and sites look into one block of each size that their file has, so a long file
-    stays linear.
+    Instead of all pairs of a file, scopes are dealt into blocks of lines as long as they
+    are (two at most) and sites look into one block of each size that their file has, so a
+    long file stays linear.
     """
     span = F.col("end_line") - F.col("start_line")
     # The block size is the least power of two above the span.
     level = F.when(span <= 0, F.lit(0)).otherwise(F.least(F.ceil(F.log2(span + 1)).cast("int"), F.lit(LEVELS)))
     scopes = symbols.where(F.col("kind").isin("function", "method") & (span >= 0)).select(
-        F.col("file_path").alias("file_path"), F.col("id").alias("src_id"), F.col("qualified_name").alias("src_name"), "start_line", "end_line", "start_column", level.alias("level")
+        F.col("file_path").alias("file_path"), F.col("id").alias("scope_id"), F.col("qualified_name").alias("scope_name"), "start_line", "end_line", "start_column", level.alias("level")
     )
     blocks = F.expr("sequence(shiftright(bigint(start_line), level), shiftright(bigint(end_line), level))")
     dealt = scopes.withColumn("block", F.explode(blocks))
     sizes = scopes.select("file_path", "level").distinct()  # a handful for each file
     looks = sites.join(sizes, "file_path").withColumn("block", F.expr("shiftright(bigint(line), level)"))
-    met = looks.join(dealt, ["file_path", "level", "block"]).where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
-    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("a"), (-F.col("start_line")).alias("b"), F.col("start_column").alias("c"), F.col("src_id").alias("d"))
-    best = met.groupBy(*keys).agg(F.min_by(F.struct("src_id", "src_name"), rank).alias("best"))
-    return best.select(*keys, "best.src_id", "best.src_name")
+    return looks.join(dealt, ["file_path", "level", "block"]).where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
+
+
+def enclosing_scopes(sites: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("file_path", "site")) -> DataFrame:
+    """The narrowest function or method around each site(file_path, line, *keys).
+
+    Of scopes of one file with start_line <= line <= end_line: the smallest span, then the
+    latest start, then the first symbol. Sites without one are dropped.
+    """
+    rank = F.struct((F.col("end_line") - F.col("start_line")).alias("a"), (-F.col("start_line")).alias("b"), F.col("start_column").alias("c"), F.col("scope_id").alias("d"))
+    best = _around(sites, symbols).groupBy(*keys).agg(F.min_by(F.struct("scope_id", "scope_name"), rank).alias("best"))
+    return best.select(*keys, F.col("best.scope_id").alias("src_id"), F.col("best.scope_name").alias("src_name"))
 
 
 def latest_scopes(sites: DataFrame, symbols: DataFrame, keys: Sequence[str] = ("file_path", "site")) -> DataFrame:
     """The other rule: the scope around each site that starts last, of those the first symbol."""
-    scopes = symbols.where(F.col("kind").isin("function", "method")).select("file_path", F.col("id").alias("owner_id"), F.col("qualified_name").alias("owner_name"), "start_line", "end_line", "start_column")
-    met = sites.join(scopes, "file_path").where((F.col("start_line") <= F.col("line")) & (F.col("line") <= F.col("end_line")))
-    rank = F.struct((-F.col("start_line")).alias("a"), F.col("start_column").alias("b"), F.col("owner_id").alias("c"))
-    best = met.groupBy(*keys).agg(F.min_by(F.struct("owner_id", "owner_name"), rank).alias("best"))
-    return best.select(*keys, "best.owner_id", "best.owner_name")
+    rank = F.struct((-F.col("start_line")).alias("a"), F.col("start_column").alias("b"), F.col("scope_id").alias("c"))
+    best = _around(sites, symbols).groupBy(*keys).agg(F.min_by(F.struct("scope_id", "scope_name"), rank).alias("best"))
+    return best.select(*keys, F.col("best.scope_id").alias("owner_id"), F.col("best.scope_name").alias("owner_name"))
 
 
 def unique_names(symbols: DataFrame) -> DataFrame:

@@ -190,8 +190,8 @@ def run(graph: Graph, sources: DataFrame, given: str, depth: int = 2, root: str
     numbered = text.lines(sources.where(F.col("path") == file))
     found = branches(numbered, own).orderBy("line", F.collate("function_name", "UNICODE")).collect()
     report.branches = [{"functionName": r["function_name"], "line": r["line"], "kind": r["kind"], "condition": r["condition"]} for r in found]
-    needed = graph.requires.where(F.col("src_path") == file).collect()
-    report.dependencies = sorted(({"moduleName": r["module_name"], "source": r["src_path"], "target": r["dst_path"], "isResolved": r["is_resolved"]} for r in needed), key=lambda d: (d["source"], d["target"], d["moduleName"]))
+    needed = graph.requires.where(F.col("src_path") == file).orderBy(*[F.collate(c, "UNICODE") for c in ("src_path", "dst_path", "module_name")]).collect()
+    report.dependencies = [{"moduleName": r["module_name"], "source": r["src_path"], "target": r["dst_path"], "isResolved": r["is_resolved"]} for r in needed]
     report.data_flow = _data_flow(graph, report, numbered, own, symbols, target, file)
     report.external_gaps = _gaps(report, file)
     return report

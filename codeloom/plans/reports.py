@@ -78,7 +78,9 @@ def snippet(root: str, path: str, line: int, context: int = 0) -> dict[str, Any]
 
 def snippets(lines: DataFrame, sites: DataFrame, context: int) -> DataFrame:
     """lines(file_path, line, code), sites(file_path, site) -> (file_path, site, start_line, end_line, code)."""
-    near = lines.join(sites, "file_path").where((F.col("line") >= F.col("site") - context) & (F.col("line") <= F.col("site") + context))
+    # Every site asks for its lines by number: no site meets all lines of its file.
+    asked = sites.select("file_path", "site", F.explode(F.sequence(F.col("site") - context, F.col("site") + context)).alias("line"))
+    near = lines.join(asked, ["file_path", "line"])
     found = near.groupBy("file_path", "site").agg(F.min("line").alias("start_line"), F.max("line").alias("end_line"), F.sort_array(F.collect_list(F.struct("line", "code"))).alias("rows"), F.max((F.col("line") == F.col("site")).cast("int")).alias("there"))
     return found.where("there = 1").select("file_path", "site", "start_line", "end_line", F.array_join(F.transform("rows", lambda r: r["code"]), "\n").alias("code"))
 
@@ -104,6 +106,11 @@ def loaded_edges(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("
     return some.join(ids.select(F.col("id").alias("source")), "source", "left_semi").join(ids.select(F.col("id").alias("target")), "target", "left_semi").select(*edges.columns)
 
 
+def node_kinds(nodes: DataFrame) -> DataFrame:
+    """The kinds that a viewer offers to filter by, in their order."""
+    return nodes.select("kind").distinct().orderBy(F.collate("kind", "UNICODE"))
+
+
 def search_nodes(nodes: DataFrame, text: str = "", kind: str | None = None) -> DataFrame:
     """The viewer's search: part of label, path or signature, whatever the case, and a kind."""
     found = nodes.where(F.lower(F.concat_ws(" ", "label", "file_path", "signature")).contains(text.strip().lower()))

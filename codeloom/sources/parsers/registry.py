@@ -26,10 +26,16 @@ def register(extension: str, language: str, parse: Callable[[str, str], Parsed])
     ADAPTERS[extension] = (language, parse)
 
 
-def adapter(path: str) -> tuple[str, Callable[[str, str], Parsed]]:
-    for extension in sorted(ADAPTERS, key=len, reverse=True):
+def extensions() -> tuple[str, ...]:
+    """The extensions that have an adapter."""
+    return tuple(ADAPTERS)
+
+
+def adapter(path: str, adapters: dict[str, tuple[str, Callable[[str, str], Parsed]]] | None = None) -> tuple[str, Callable[[str, str], Parsed]]:
+    known = ADAPTERS if adapters is None else adapters
+    for extension in sorted(known, key=len, reverse=True):
         if path.endswith(extension):
-            return ADAPTERS[extension]
+            return known[extension]
     raise ValueError(f"no parser for {path}")
 
 
@@ -47,13 +53,15 @@ SCHEMA = (
 )
 
 
-def parse_source(path: str, source: str) -> tuple[str, Parsed, str]:
-    """Language, what was found, and an error text; one bad file never fails a run."""
-    language, parse = adapter(path)
+def parse_source(path: str, source: str, adapters: dict[str, tuple[str, Callable[[str, str], Parsed]]] | None = None) -> tuple[str, Parsed, str]:
+    """Language, what was found, and an error text; one bad file never fails a run, whatever its parser raises."""
+    language, parse = adapter(path, adapters)
     try:
         return language, parse(path, source), ""
     except RecursionError:
         return language, Parsed(path), "nested too deeply"
+    except Exception as e:  # noqa: BLE001
+        return language, Parsed(path), f"{type(e).__name__}: {e}"
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -62,11 +70,12 @@ def parse_files(files: DataFrame) -> DataFrame:
     The only Python on the data path: Arrow batches in, nested rows out.
     """
     ship(files.sparkSession)
+    adapters = dict(ADAPTERS)  # those registered here, for executors too
     names = [f.strip().split(" ")[0] for f in "path,content_hash,size,modified_at,language,symbols,calls,extends,requires,error".split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [parse_source(p, t or "") for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist())]
+            found = [parse_source(p, t or "", adapters) for p, t in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist())]
             rows = lambda xs, kind: pa.array([[dict(zip([f.name for f in kind], r)) if isinstance(r, tuple) else r for r in x] for x in xs], pa.list_(kind))
             yield pa.RecordBatch.from_arrays(
                 [

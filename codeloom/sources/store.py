@@ -1,4 +1,8 @@
-"""The graph on disk: Parquet snapshots behind a pointer that is swapped at once."""
+"""The graph on disk: Parquet snapshots behind a pointer that is swapped at once.
+
+The folder belongs to a project directory of the driver's file system, as the project's
+sources do; on a cluster that has to be a file system which the executors share.
+"""
 
 from __future__ import annotations
 
@@ -15,6 +19,8 @@ from codeloom.model import SCHEMAS, Graph, empty
 POINTER = "CURRENT"
 #: Beside the graph's tables: what was parsed, by path and content hash.
 PARSED = "parsed"
+#: Snapshots that stay when a new one is written, for frames that still read them.
+KEEP = 2
 
 
 class NotIndexed(FileNotFoundError):
@@ -35,22 +41,23 @@ def is_indexed(folder: str) -> bool:
 
 
 def write(tables: dict[str, DataFrame], folder: str, parsed: DataFrame | None = None) -> str:
-    """Write a whole snapshot, then swap the pointer and drop what it pointed to.
+    """Write a whole snapshot, then swap the pointer.
 
-    Readers see the old snapshot or the new one, never a part of either.
+    Readers see the old snapshot or the new one, never a part of either. The last KEEP
+    snapshots before it stay, so that frames opened on those can still be read.
     """
     name = f"snapshot-{uuid.uuid4().hex}"
     to = os.path.join(folder, name)
     os.makedirs(folder, exist_ok=True)
     for table, frame in (tables | ({} if parsed is None else {PARSED: parsed})).items():
         frame.write.parquet(os.path.join(to, table))
-    old = current(folder)
     fresh = os.path.join(folder, f"{POINTER}.{uuid.uuid4().hex}")
     with open(fresh, "w", encoding="utf-8") as f:
         f.write(name)
     os.replace(fresh, os.path.join(folder, POINTER))
-    if old is not None:
-        shutil.rmtree(old, ignore_errors=True)
+    older = sorted((e for e in os.scandir(folder) if e.name.startswith("snapshot-") and e.name != name), key=lambda e: (e.stat().st_mtime_ns, e.name))
+    for entry in older[: max(0, len(older) - KEEP)]:
+        shutil.rmtree(entry.path, ignore_errors=True)
     return to
 
 

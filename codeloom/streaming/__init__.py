@@ -6,6 +6,8 @@ path, and the graph is resolved anew, just as sync does from a directory.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,10 +20,14 @@ from codeloom.sources.parsers.registry import parse_files
 __all__ = ["merge_batch", "sync_stream"]
 
 
-def merge_batch(batch: DataFrame, folder: str) -> None:
+Aliases = Sequence[tuple[str, Sequence[str]]]
+
+
+def merge_batch(batch: DataFrame, folder: str, base_url: str = ".", aliases: Aliases = ()) -> None:
     """Merge rows (path, text, modified_at) into a store; null texts remove their path.
 
     Of several rows of a path the latest counts. Merging a batch twice changes nothing.
+    base_url and aliases are the project's, as config.compiler_paths() reads them.
     """
     spark = batch.sparkSession
     latest = checkpointed(store.last_by_key(batch.select("path", "text", "modified_at"), ["path"], ["modified_at", "text"]))
@@ -29,9 +35,13 @@ def merge_batch(batch: DataFrame, folder: str) -> None:
     fresh = parse_files(live)
     old = store.read_parsed(spark, folder)
     parsed = checkpointed(fresh if old is None else old.join(latest, "path", "left_anti").unionByName(fresh))
-    store.write(build(parsed).tables(), folder, parsed)
+    store.write(build(parsed, base_url, aliases).tables(), folder, parsed)
 
 
-def sync_stream(changes: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Start merging a streaming frame of rows (path, text, modified_at)."""
-    return changes.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def sync_stream(changes: DataFrame, folder: str, checkpoint: str, base_url: str = ".", aliases: Aliases = (), every: str | None = None) -> StreamingQuery:
+    """Start merging a streaming frame of rows (path, text, modified_at).
+
+    It merges what there is and ends, or goes on in the given intervals ("30 seconds").
+    """
+    merged = changes.writeStream.foreachBatch(lambda batch, _: merge_batch(batch, folder, base_url, aliases)).option("checkpointLocation", checkpoint)
+    return (merged.trigger(availableNow=True) if every is None else merged.trigger(processingTime=every)).start()
