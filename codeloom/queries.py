@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from codeloom import bindings as B
 from codeloom.functions import paths, text
+from codeloom.model import Graph
 from codeloom.operators import resolve, traverse
-from codeloom.plans import explain, impact, query, reports
+from codeloom.plans import explain, impact, project, query, reports
+from codeloom.session import checkpointed
 from codeloom.sources import store
+from codeloom.sources.parsers.registry import parse_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -395,10 +398,9 @@ def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.edge_counts(B.graph(spark, sf_dir))
 
 
-@offered(_with(SYMBOLS, select="SELECT id, kind, name, file_path, start_line FROM symbols ORDER BY file_path, start_line, kind, name, id LIMIT 20"))
+@offered(_with(SYMBOLS, select="SELECT kind, name, qualified_name, file_path, start_line FROM symbols ORDER BY file_path, start_line, kind, name, id LIMIT 20"))
 def sample_order_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = _symbols(spark, sf_dir).orderBy("file_path", "start_line", "kind", "name", "id").limit(20)
-    return ids.select("id", "kind", "name", "file_path", "start_line")
+    return reports.sample(B.graph(spark, sf_dir), 20).select("kind", "name", "qualified_name", "file_path", "start_line")
 
 
 # Snapshots.
@@ -554,3 +556,154 @@ def loaded_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @offered("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("href"))
+
+
+@offered(_with(FILES, SYMBOLS, REQUIRES, select="SELECT DISTINCT kind FROM symbols UNION SELECT 'file' UNION SELECT 'module' FROM requires WHERE NOT is_resolved"))
+def viewer_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = reports.viewer_graph(B.graph(spark, sf_dir))
+    return reports.node_kinds(nodes)
+
+
+@offered(_with(LINES, select="SELECT file_path, line, array_to_string(list_filter(string_split(translate(code, chr(9) || chr(11) || chr(12) || chr(13), '    '), ' '), lambda x: x <> ''), ' ') AS code FROM lines"))
+def whitespace_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.source_lines(spark, sf_dir).select("file_path", "line", text.collapse(F.col("code")).alias("code"))
+
+
+@offered("SELECT p_partkey AS i FROM part WHERE p_partkey % 8 IN (0, 1, 2, 3, 4)")
+def extension_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.array(*[F.lit(x) for x in (".lua", ".js", ".jsx", ".ts", ".tsx", ".d.ts", ".luac", "/js")])
+    path = F.concat(F.lit("src/"), "p_name", F.element_at(ends, (F.col("p_partkey") % 8 + 1).cast("int")))
+    return B.table(spark, sf_dir, "part").where(paths.supported_column(path)).select(F.col("p_partkey").alias("i"))
+
+
+# Parsed sources: a Lua and a TypeScript file for each supplier n, which name those of m.
+
+_LUA_SOURCE = """local other = require("lua.f{m}")
+local Widget{n} = class("Widget{n}", Widget{m})
+function Widget{n}:draw(a, b)
+  self:draw(a)
+  helper{m}(b)
+end
+local function helper{n}(x)
+  return Widget{n}.new(x)
+end
+"""
+_TS_SOURCE = """import { make{m} } from "./f{m}";
+export class Shape{n} extends Shape{m} {
+  area{n}(x) {
+    return make{m}(x);
+  }
+}
+export function make{n}(x) {
+  return unknown{n}(x);
+}
+"""
+#: What has to be found in them, written by hand: path, kind, name, qualified name,
+#: signature, first and last line, column, local, exported.
+_FOUND = [
+    ("lua/f{n}.lua", "class", "Widget{n}", "Widget{n}", 'local Widget{n} = class("Widget{n}", Widget{m})', 2, 2, 1, True, False),
+    ("lua/f{n}.lua", "method", "draw", "Widget{n}:draw", "function Widget{n}:draw(a, b)", 3, 6, 1, False, True),
+    ("lua/f{n}.lua", "function", "helper{n}", "helper{n}", "local function helper{n}(x)", 7, 9, 1, True, False),
+    ("ts/f{n}.ts", "class", "Shape{n}", "Shape{n}", "export class Shape{n} extends Shape{m} {", 2, 6, 1, False, True),
+    ("ts/f{n}.ts", "method", "area{n}", "Shape{n}.area{n}", "area{n}(x) {", 3, 5, 3, False, True),
+    ("ts/f{n}.ts", "function", "make{n}", "make{n}", "export function make{n}(x) {", 7, 9, 1, False, True),
+]
+class Sql(str):
+    """An expected value that SQL works out."""
+
+
+_SAID = [("lua/f{n}.lua", "require", 1, 15), ("lua/f{n}.lua", "class", 2, Sql("16 + length(CAST(n AS VARCHAR))")), ("lua/f{n}.lua", "self:draw", 4, 3), ("lua/f{n}.lua", "helper{m}", 5, 3), ("lua/f{n}.lua", "Widget{n}.new", 8, 10), ("ts/f{n}.ts", "make{m}", 4, 12), ("ts/f{n}.ts", "unknown{n}", 8, 10)]
+
+
+def _sql_rows(name: str, columns: str, rows: list[tuple], where: str = "true") -> str:
+    """A CTE with the rows for every supplier n and its m, both put in for their names."""
+    show = lambda x: "replace(replace('" + x + "', '{n}', CAST(n AS VARCHAR)), '{m}', CAST(m AS VARCHAR))" if isinstance(x, str) and not isinstance(x, Sql) else str(x) if isinstance(x, Sql) else str(x).lower()
+    one = "SELECT n, m, " + ", ".join(f"{{{i}}} AS {c}" for i, c in enumerate(columns.split(", "))) + " FROM numbered WHERE " + where
+    return f"{name} AS (" + " UNION ALL ".join(one.format(*map(show, r)) for r in rows) + ")"
+
+
+_NUMBERED = "numbered AS (SELECT s_suppkey AS n, s_suppkey % 10 + 1 AS m, EXISTS (SELECT 1 FROM supplier o WHERE o.s_suppkey = s.s_suppkey % 10 + 1) AS there FROM supplier s)"
+_FOUND_SQL = _sql_rows("found", "file_path, kind, name, qualified_name, signature, start_line, end_line, start_column, is_local, is_exported", _FOUND)
+_ID = "file_path || '#' || kind || '#' || qualified_name || '#' || start_line || ':' || start_column"
+_IDS = f"ids AS (SELECT n, kind, split_part(file_path, '/', 1) AS lang, file_path, qualified_name, {_ID} AS id FROM found)"
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("s_suppkey")
+    named = lambda t: F.replace(F.replace(F.lit(t), F.lit("{n}"), n.cast("string")), F.lit("{m}"), (n % 10 + 1).cast("string"))
+    sources = [B.table(spark, sf_dir, "supplier").select(named(path).alias("path"), named(source).alias("text")) for path, source in (("lua/f{n}.lua", _LUA_SOURCE), ("ts/f{n}.ts", _TS_SOURCE))]
+    files = sources[0].unionByName(sources[1])
+    return parse_files(files.select("path", "text", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("timestamp").alias("modified_at")))
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Graph:
+    return project.build(checkpointed(_parsed(spark, sf_dir)))
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, select=f"SELECT {_ID} AS id, kind, name, qualified_name, file_path, signature, start_line, end_line, start_column, is_local, is_exported FROM found"))
+def parsed_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.symbols_of(_parsed(spark, sf_dir)).select("id", "kind", "name", "qualified_name", "file_path", "signature", "start_line", "end_line", "start_column", "is_local", "is_exported")
+
+
+@offered(_with(_NUMBERED, _sql_rows("said", "file_path, callee, line, start_column", _SAID), select="SELECT file_path, callee, line, start_column FROM said"))
+def parsed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select(F.explode("calls").alias("c")).select("c.file_path", "c.callee", "c.line", F.col("c.column").alias("start_column"))
+
+
+@offered(_with(_NUMBERED, _sql_rows("named", "file_path, kind, subject, object, line", [("lua/f{n}.lua", "extends", "Widget{n}", "Widget{m}", 2), ("ts/f{n}.ts", "extends", "Shape{n}", "Shape{m}", 2), ("lua/f{n}.lua", "requires", "static", "lua.f{m}", 1), ("ts/f{n}.ts", "requires", "static", "./f{m}", 1)]), select="SELECT file_path, kind, subject, object, line FROM named"))
+def parsed_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = checkpointed(_parsed(spark, sf_dir))
+    extends = parsed.select(F.explode("extends").alias("x")).select("x.file_path", F.lit("extends").alias("kind"), F.col("x.child").alias("subject"), F.col("x.parent").alias("object"), "x.line")
+    requires = parsed.select(F.explode("requires").alias("x")).select("x.file_path", F.lit("requires").alias("kind"), F.when(F.col("x.is_static"), "static").otherwise("dynamic").alias("subject"), F.col("x.module_name").alias("object"), "x.line")
+    return extends.unionByName(requires)
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, select="SELECT file_path AS src_path, id AS dst_id FROM ids"))
+def contains_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return project.contains_of(_parsed(spark, sf_dir))
+
+
+_CALLED = "called AS (SELECT a.id AS src_id, b.id AS dst_id, x.line FROM numbered s JOIN (VALUES ('Widget', ':draw', 'method', 'Widget', ':draw', 'method', true, 4), ('Widget', ':draw', 'method', 'helper', '', 'function', false, 5), ('helper', '', 'function', 'Widget', '', 'class', true, 8), ('Shape', '.area', 'method', 'make', '', 'function', false, 4)) x(a, a_end, a_kind, b, b_end, b_kind, own, line) ON true JOIN ids a ON a.n = s.n AND a.kind = a_kind AND starts_with(a.qualified_name, x.a) AND contains(a.qualified_name, a_end) JOIN ids b ON b.n = CASE WHEN own THEN s.n ELSE s.m END AND b.kind = b_kind AND starts_with(b.qualified_name, x.b))"
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, _CALLED, select="SELECT src_id, dst_id, line FROM called"))
+def built_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).calls.where("is_resolved").select("src_id", "dst_id", "line")
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, select="SELECT a.id AS child_id, b.id AS parent_id FROM numbered s JOIN ids a ON a.n = s.n AND a.kind = 'class' JOIN ids b ON b.n = s.m AND b.kind = 'class' AND a.lang = b.lang"))
+def built_extends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).extends.select("child_id", "parent_id")
+
+
+@offered(_with(_NUMBERED, select="SELECT lang || '/f' || n || '.' || lang AS src_path, lang || '/f' || CASE WHEN there THEN m ELSE n END || '.' || lang AS dst_path, there AS is_resolved FROM numbered, (VALUES ('lua'), ('ts')) x(lang)"))
+def built_requires(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _built(spark, sf_dir).requires.select("src_path", "dst_path", "is_resolved")
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, _CALLED, select="SELECT src_id AS source, dst_id AS target, line FROM called WHERE dst_id LIKE '%#helper3#%' UNION SELECT src_id, dst_id, line FROM called WHERE dst_id IN (SELECT src_id FROM called WHERE dst_id LIKE '%#helper3#%')"))
+def query_run_callers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way of a query as users go it: expression, seeds, checkpointed levels."""
+    return query.run(_built(spark, sf_dir), "callers:helper3", 2).edges.select("source", "target", "line")
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, select="SELECT id FROM ids WHERE qualified_name = 'make3'"))
+def query_run_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return query.run(_built(spark, sf_dir), "name:make3 kind:function").nodes.select("id")
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, _CALLED, select="SELECT src_id AS id FROM called WHERE dst_id LIKE 'lua/f3.lua#%' AND src_id NOT LIKE 'lua/f3.lua#%' UNION SELECT a.id FROM called c JOIN called d ON d.dst_id = c.src_id JOIN ids a ON a.id = d.src_id WHERE c.dst_id LIKE 'lua/f3.lua#%' AND d.src_id NOT LIKE 'lua/f3.lua#%' UNION SELECT a.id FROM ids a JOIN numbered s ON s.n = a.n WHERE a.kind = 'class' AND lang = 'lua' AND (s.m = 3 OR s.m IN (SELECT n FROM numbered WHERE m = 3)) AND a.n <> 3"))
+def impact_run_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact.run(_built(spark, sf_dir), "lua/f3.lua", 2).nodes.select("id").distinct()
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, select="SELECT row_number() OVER (ORDER BY file_path, id) - 1 AS position, id FROM ids WHERE kind = 'function'"))
+def node_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = query.ordered_nodes(query.run(_built(spark, sf_dir), "kind:function").nodes)
+    return ordered.select("id").coalesce(1).select(F.monotonically_increasing_id().alias("position"), "id")
+
+
+@offered(_with(_NUMBERED, _FOUND_SQL, _IDS, select="SELECT id, CASE kind WHEN 'x' THEN '' ELSE qualified_name END AS label, 'Symbol' AS type FROM ids UNION ALL SELECT DISTINCT file_path, file_path, 'File' FROM ids"))
+def viewer_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, _ = reports.viewer_graph(_built(spark, sf_dir))
+    return nodes.where("type <> 'Module'").select("id", "label", "type")

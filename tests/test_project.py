@@ -5,7 +5,7 @@ import urllib.error
 import urllib.request
 
 import pytest
-from codeloom import cli, render, serve
+from codeloom import cli, render, serve, streaming
 from codeloom.plans import lang, reports
 from codeloom.plans import project as P
 from codeloom.sources import config, scan, store
@@ -313,3 +313,41 @@ def test_stream(spark, tmp_path):
     assert g.calls.count() == 0 and [r["path"] for r in g.files.collect()] == ["a.lua"]
     merge_batch(spark.createDataFrame([("b.lua", None, None)], schema), folder)
     assert store.read(spark, folder).files.count() == 1
+
+
+def test_bad_bytes_and_parser_errors_do_not_end_a_run(spark, tmp_path):
+    from codeloom.sources.parsers import registry
+
+    def broken(path, source):
+        raise KeyError(source.strip())
+
+    (tmp_path / "node_modules/deep").mkdir(parents=True)
+    (tmp_path / "node_modules/deep/x.js").write_text("export function hidden() {}")
+    (tmp_path / "latin.lua").write_bytes(b"-- caf\xe9\nfunction ok() end\n")
+    (tmp_path / "one.luau").write_text("boom")
+    (tmp_path / "empty.lua").write_text("")
+    P.init_project(spark, str(tmp_path))
+    registry.register(".luau", "lua", broken)
+    try:
+        settings = config.required(str(tmp_path))
+        object.__setattr__(settings, "include", [*settings.include, "**/*.luau"])
+        files = {r["path"]: r for r in registry.parse_files(scan.read_texts(spark, str(tmp_path), settings)).collect()}
+    finally:
+        del registry.ADAPTERS[".luau"]
+    assert set(files) == {"latin.lua", "one.luau", "empty.lua"}
+    assert [s["name"] for s in files["latin.lua"]["symbols"]] == ["ok"] and files["latin.lua"]["error"] == ""
+    assert files["one.luau"]["error"] == "KeyError: 'boom'" and files["empty.lua"]["symbols"] == []
+
+
+def test_stream_keeps_aliases_and_open_frames(spark, tmp_path):
+    rows = [("src/b.ts", 'import { a } from "@/lib/a";'), ("src/lib/a.ts", "export const a = 1;"), ("other.ts", "export function f() {}")]
+    frame = lambda some: spark.createDataFrame([(p, t, None) for p, t in some], "path string, text string, modified_at timestamp")
+    folder, aliases = str(tmp_path / "db"), [("@/*", ["src/*"])]
+    streaming.merge_batch(frame(rows[:2]), folder, ".", aliases)
+    first = store.read(spark, folder).requires
+    streaming.merge_batch(frame(rows[2:]), folder, ".", aliases)
+    for edges in (store.read(spark, folder).requires, first):  # the older snapshot can still be read
+        assert [(r["src_path"], r["dst_path"], r["is_resolved"]) for r in edges.collect()] == [("src/b.ts", "src/lib/a.ts", True)]
+    for _ in range(5):
+        streaming.merge_batch(frame(rows[2:]), folder, ".", aliases)
+    assert sum(p.name.startswith("snapshot-") for p in (tmp_path / "db").iterdir()) == 1 + store.KEEP
