@@ -33,12 +33,15 @@ def ship(spark: SparkSession) -> None:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's own folder in spark.checkpoint.dir, which all executors share.
 
-    The cluster names that folder; only where it names none, as in local tests, a
-    temporary one is set.
+    The cluster names that folder; only a local session that names none gets a temporary
+    one, for elsewhere executors wouldn't see it.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return sc.getCheckpointDir()
 
 
