@@ -57,10 +57,11 @@ def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], counts: Dat
     most, are broadcast to the rows wherever those lie; the others meet by shuffle, none of
     them with more than HOT_SHARE of the rows. Keys are not null.
     """
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = checkpointed(counts.where(F.col("n") > max(1000.0, total * HOT_SHARE)).select(*keys).join(values, keys))
-    if hot.isEmpty():
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    above = max(1000.0, (total or 0) * HOT_SHARE)
+    if (most or 0) <= above:
         return rows.join(values, keys)
+    hot = checkpointed(counts.where(F.col("n") > above).select(*keys).join(values, keys))
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 

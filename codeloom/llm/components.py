@@ -2,7 +2,8 @@
 
 Every round is two aggregations and joins on the edge table; nothing but one count
 and one checksum per round reaches the driver. Aggregations combine on the map side,
-so a hub with very many edges costs one row per task there.
+so a hub with very many edges costs one row per task there, and its edges meet their
+least neighbour where they lie instead of in one task.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed
+from codeloom.llm.common import checkpointed, spread_join
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +20,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = both.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    linked = both.join(least, "u")
+    nodes = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    least = nodes.select("u", F.least("u", "m").alias("m"))
+    linked = spread_join(both, least, ["u"], nodes.select("u", "n"))
     if large:
         out = linked.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

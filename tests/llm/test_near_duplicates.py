@@ -89,6 +89,14 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_a_hub_of_most_edges(spark):
+    """More than a thousand edges of one node, which spread_join takes for hot."""
+    edges = [(0, i) for i in range(1, 3000)] + [(i, -i) for i in range(1, 3000, 7)] + [(i, i + 1) for i in range(5000, 5040)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    hub = set(range(3000)) | {-i for i in range(1, 3000, 7)}
+    assert got == {x: min(hub) for x in hub} | {x: 5000 for x in range(5000, 5041)}
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     rows = simhash.near_duplicates(docs).collect()
