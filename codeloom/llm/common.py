@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from codeloom.session import checkpoint_folder, checkpointed, ship
 
-__all__ = ["BATCH_ROWS", "checkpoint_folder", "checkpointed", "free_prefix", "least_keys", "over_texts", "packed", "partitions", "prepare", "quoted", "spread_join", "table"]
+__all__ = ["BATCH_ROWS", "checkpoint_folder", "checkpointed", "free_prefix", "hot_above", "least_keys", "local", "measured", "over_texts", "packed", "partitions", "prepare", "quoted", "spread_join", "table"]
 
 #: Rows of one Arrow batch: whole texts are held per batch, so memory follows this.
 BATCH_ROWS = 256
@@ -50,19 +50,37 @@ def least_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
 HOT_SHARE = 1 / 1024
 
 
-def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+def hot_above(total: int | None) -> float:
+    """The rows that a key has to exceed to be hot, of total rows in all."""
+    return max(1000.0, (total or 0) * HOT_SHARE)
+
+
+def local(df: DataFrame) -> DataFrame:
+    """df, of a bounded number of rows, fetched once: broadcasting it takes no more tasks."""
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)
+
+
+def measured(df: DataFrame, **metrics: Column) -> tuple[DataFrame, dict]:
+    """df checkpointed, and aggregates of all its rows from there, so that df runs once."""
+    out = checkpointed(df)
+    return out, out.agg(*[m.alias(name) for name, m in metrics.items()]).first().asDict()
+
+
+def spread_join(rows: DataFrame, values: DataFrame, keys: list[str], counts: DataFrame, size: tuple | None = None) -> DataFrame:
     """rows joined to values (one row a key) with no hot key in one task.
 
-    counts(*keys, n) says how many rows each key has. The values of hot keys, 1,024 at
-    most, are broadcast to the rows wherever those lie; the others meet by shuffle, none of
-    them with more than HOT_SHARE of the rows. Keys are not null.
+    counts(*keys, n) says how many rows each key has; size is its sum and maximum of n if
+    those are known. The values of hot keys, 1,024 at most, are broadcast to the rows
+    wherever those lie; the others meet by shuffle, none of them with more than HOT_SHARE
+    of the rows. Keys are not null.
     """
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    above = max(1000.0, (total or 0) * HOT_SHARE)
+    total, most = size or counts.agg(F.sum("n"), F.max("n")).first()
+    above = hot_above(total)
     if (most or 0) <= above:
         return rows.join(values, keys)
-    hot = checkpointed(counts.where(F.col("n") > above).select(*keys).join(values, keys))
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(values, keys)
+    named = local(counts.where(F.col("n") > above).select(*keys))
+    hot = local(values.join(F.broadcast(named), keys))
+    rest = rows.join(F.broadcast(named), keys, "left_anti").join(values, keys)
     return rows.join(F.broadcast(hot), keys).unionByName(rest)
 
 

@@ -28,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import checkpointed, packed, partitions, prepare, spread_join
-from codeloom.llm.components import connected_components
+from codeloom.llm.common import checkpointed, measured, packed, partitions, prepare, spread_join
+from codeloom.llm.components import star_forest
 
 TAU = 4
 SHINGLE = 4
@@ -141,14 +141,15 @@ def links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
     dealt = distinct.repartition(partitions(distinct), "fp")
     keyed = dealt.select("fp", F.explode(F.concat(*[_keys(F.col("fp"), i, CHAIN, FLIPS) for i in range(5)])).alias("key")).select("fp", "key.*")
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("start", "value")))
-    shared = checkpointed(counted.where("n > 1"))
+    shared, seen = measured(counted.where("n > 1"), most=F.max("n"))
     few = shared.where(F.col("n") <= crowd)
     x = F.col("fp").bitwiseXOR(F.col("other"))
     met = few.select("start", "value", "fp").join(few.select("start", "value", F.col("fp").alias("other")), ["start", "value"])
     once = _first_chain(x, F.col("start")) & _first_key(F.col("fp"), x, F.col("start"), F.col("value"))
     pairs = met.where((F.col("fp") < F.col("other")) & (F.bit_count(x) <= TAU) & once).select(F.col("fp").alias("u"), F.col("other").alias("v"))
-    crowds = shared.where(F.col("n") > crowd).select("start", "fp").distinct()
-    return pairs if crowds.isEmpty() else pairs.unionByName(_crowd_links(crowds))
+    if (seen["most"] or 0) <= crowd:
+        return pairs
+    return pairs.unionByName(_crowd_links(shared.where(F.col("n") > crowd).select("start", "fp").distinct()))
 
 
 def _crowd_links(members: DataFrame) -> DataFrame:
@@ -170,15 +171,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where all are); an empty table gives an empty one; other columns are ignored.
     """
     hashed = checkpointed(fingerprints(docs))
-    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")))
-    roots = checkpointed(connected_components(links(distinct.select("fp"))))
-    # Most fingerprints are alone: only the linked ones are looked up by their component.
-    linked = checkpointed(distinct.join(roots.withColumnRenamed("node", "fp"), "fp").withColumnRenamed("root", "component"))
-    parts = linked.groupBy("component")
-    named = spread_join(linked, parts.agg(F.min("least_id").alias("component_id")), ["component"], parts.agg(F.count("*").alias("n")))
-    alone = distinct.join(roots, distinct["fp"] == roots["node"], "left_anti").select("fp", F.col("fp").alias("component"), F.col("least_id").alias("component_id"))
-    names = named.select("fp", "component", "component_id").unionByName(alone)
-    return spread_join(hashed, names, ["fp"], distinct.select("fp", "n")).select("doc_id", "text_key", "fp", "component", "component_id")
+    distinct, all_rows = measured(hashed.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), rows=F.sum("n"), most=F.max("n"))
+    stars = star_forest(links(distinct.select("fp")))
+    placed = checkpointed(distinct.join(stars, F.col("fp") == F.col("u"), "left").select("fp", "least_id", F.coalesce("v", "fp").alias("component")))
+    parts, fps = measured(placed.groupBy("component").agg(F.min("least_id").alias("component_id"), F.count("*").alias("n")), rows=F.sum("n"), most=F.max("n"))
+    named = spread_join(placed, parts.select("component", "component_id"), ["component"], parts, (fps["rows"], fps["most"]))
+    names = checkpointed(named.select("fp", "component", "component_id"))
+    return spread_join(hashed, names, ["fp"], distinct, (all_rows["rows"], all_rows["most"])).select("doc_id", "text_key", "fp", "component", "component_id")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

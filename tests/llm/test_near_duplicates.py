@@ -97,6 +97,53 @@ def test_a_hub_of_most_edges(spark):
     assert got == {x: min(hub) for x in hub} | {x: 5000 for x in range(5000, 5041)}
 
 
+@pytest.mark.parametrize("hub", [-1, 1500, 10**6])
+def test_hubs_of_either_end(spark, hub):
+    """Least, in the middle and greatest of more than a thousand neighbours, which meet further ones."""
+    rng = random.Random(hub)
+    edges = [(hub, i) for i in range(3000) if i != hub] + [(i, i + 5000) for i in range(0, 3000, 3)] + [(i + 5000, 20_000 - i) for i in range(0, 3000, 9)]
+    edges += [(rng.randrange(30_000, 30_060), rng.randrange(30_000, 30_060)) for _ in range(50)]
+    edges = [rng.choice([(u, v), (v, u)]) for u, v in edges] + edges[:500]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    around = {}
+    for u, v in edges:
+        if u != v:
+            around.setdefault(u, set()).add(v)
+            around.setdefault(v, set()).add(u)
+    roots = {}
+    for start in sorted(around):
+        left = [] if start in roots else [start]
+        while left:
+            x = left.pop()
+            if x not in roots:
+                roots[x] = start
+                left += around[x]
+    assert got == roots
+
+
+def stages(spark, run):
+    """Stages that run() has had run; the driver keeps a record of each of their tasks."""
+    sc = spark.sparkContext
+    group = f"stages-{random.random()}"
+    sc.setJobGroup(group, group)
+    try:
+        run()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker = sc.statusTracker()
+    ids = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum((info := tracker.getStageInfo(s)) is not None and info.numCompletedTasks > 0 for s in ids)
+
+
+def test_few_stages(spark):
+    """The driver's memory grows with them: no round runs a star again to count or spread it."""
+    rng = random.Random(3)
+    center = rng.getrandbits(64)
+    fps = {center ^ sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 2, 3]))) for _ in range(1500)}
+    edges = simhash.checkpointed(simhash.links(spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in fps], "fp long"), 8))
+    assert stages(spark, lambda: connected_components(edges).count()) <= 45
+
+
 def test_awkward_rows(spark):
     docs = documents(spark, AWKWARD)
     rows = simhash.near_duplicates(docs).collect()
