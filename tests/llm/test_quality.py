@@ -1,7 +1,9 @@
 import random
 import re
+import weakref
 
 import numpy as np
+import pyarrow as pa
 from codeloom.llm import quality_classifier as qc
 from codeloom.llm import quality_rules as qr
 from codeloom.llm import trees
@@ -78,6 +80,25 @@ def test_profile(spark):
     assert list(qr.cascade(documents(spark, EMPTY))) == list(qr.RULES)
 
 
+def test_a_batch_holds_the_words_of_one_text_at_a_time(monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Watched(qr.Text):
+        def __post_init__(self):
+            super().__post_init__()
+            alive.add(self)
+            most.append(len(alive))
+
+        __hash__ = object.__hash__
+
+    monkeypatch.setattr(qr, "Text", Watched)
+    texts = [None, "", *[f"w{i} " * 60 + " ".join(f"x{j}" for j in range(90)) for i in range(30)]]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    ((_, stats, failed, by),) = qr.score_batches(iter([batch]), qr.RULES)
+    assert max(most) == 1 and len(most) == len(texts)
+    assert stats == [brute(t) for t in texts] and failed[:3] == [True, True, False] and by == [None, None] + ["one_word"] * 30
+
+
 def test_op1_equals_sql(spark):
     from codeloom.llm.queries import oracle_sql, queries
 
