@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -143,15 +144,26 @@ class Block:
 
 #: How the tokenizers that may be cut at blanks cut words.
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A letter, one of these and a blank: the library cuts between the first two.
-_STOP = r"([A-Za-z])([.,;:!?])([ \n]|$)"
+#: Letters of ASCII and Latin-1; and signs of which the library makes one word, cut from letters before them.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", ".,;:!?#$%&*"
+#: A letter, signs and a blank: the library cuts between the first two.
+_STOP = rf"([{_LETTERS}])([{_SIGNS}]+)([ \n]|$)"
+#: Pieces that are one word to the library wherever they stand.
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+#: Special tokens that cuts at blanks and signs could break, or that a word could hold.
+_IN_PIECES = re.compile(rf"\s|[{_LETTERS}][{_SIGNS}]|^[{_LETTERS}]*$").search
+#: Words that the library gets as one text.
+JOINED = 128
 #: Pieces kept with their ids in a worker; beyond that they are forgotten.
 CACHE_PIECES = 800_000
+#: Characters from which texts are encoded together, so that a piece is looked up once for all of them.
+GROUP_CHARS = 1 << 22
 
 
 def cuts_at_blanks(spec: dict) -> bool:
     """A tokenizer file says that white space and case are dropped, that no word crosses
-    white space or goes from letters to punctuation, and that nothing looks at whole texts."""
+    white space or goes from letters to punctuation, and that nothing looks at whole texts.
+    Special tokens are none that a cut could break or that could stand within a word."""
     steps = lambda part, many: [] if part is None else part.get(many, [part])
     normal = steps(spec.get("normalizer"), "normalizers")
     blanks = [n for n in normal if n["type"] == "Replace"]
@@ -165,7 +177,7 @@ def cuts_at_blanks(spec: dict) -> bool:
         and not cut[1]["add_prefix_space"]
         and not cut[1]["use_regex"]
         and spec["model"]["type"] == "BPE"
-        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"])
+        and not any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] or _IN_PIECES(t["content"]) for t in spec["added_tokens"])
     )
 
 
@@ -174,7 +186,8 @@ class PieceEncoder:
 
     For tokenizers that drop white space and case, whose words never cross white space or
     go from letters to punctuation: the library encodes each distinct piece once, and
-    whole texts are put together from that. Cutting, lower-casing A-Z and finding distinct
+    whole texts are put together from that; pieces of letters alone, which are one word each,
+    go to it many in one text. Cutting, lower-casing A-Z and finding distinct
     pieces are Arrow's kernels. Whether a tokenizer is one of those its file says; any other
     one encodes whole texts.
     """
@@ -202,6 +215,19 @@ class PieceEncoder:
                 break
         return pc.ascii_split_whitespace(pc.replace_substring_regex(low, _STOP, r"\1 \2\3"))
 
+    def learn(self, fresh: list[str]) -> None:
+        """Ask the library for pieces: words many at a time, of which it says whose each id is."""
+        words, other = [], []
+        for p in fresh:
+            (words if _WORD(p) else other).append(p)
+        # The fast form leaves out offsets and words, which nothing here asks for.
+        self.known.update(zip(other, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)]))
+        groups = [words[i : i + JOINED] for i in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = array("I", e.ids).tobytes()
+            stops = (4 * np.cumsum(np.bincount(e.word_ids, minlength=len(group)))).tolist()
+            self.known.update(zip(group, [ids[a:b] for a, b in zip([0, *stops], stops)]))
+
     def encode(self, texts: list[str], end: int | None) -> list[np.ndarray]:
         """The library's ids of each text, and then end."""
         if not texts:
@@ -215,9 +241,7 @@ class PieceEncoder:
         lists = self.pieces(pa.array(texts, pa.string()))
         distinct = lists.flatten().dictionary_encode()
         names = distinct.dictionary.to_pylist()
-        fresh = [p for p in names if p not in known]
-        # The fast form leaves out offsets, which nothing here asks for.
-        known.update(zip(fresh, [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]))
+        self.learn([p for p in names if p not in known])
         found = [known[p] for p in names]
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), np.uint32)
@@ -240,6 +264,22 @@ def encode_texts(path: str, texts: list[str], end: int | None) -> list[np.ndarra
     return _LOADED[path].encode(texts, end)
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """doc_ids and texts of batches (doc_id, text), in order, by groups: whole batches until
+    they have GROUP_CHARS characters or BLOCK_DOCS documents."""
+    names, texts, chars = [], [], 0
+    for batch in batches:
+        more = [t or "" for t in batch.column("text").to_pylist()]
+        names += batch.column("doc_id").to_pylist()
+        texts += more
+        chars += sum(map(len, more))
+        if chars >= GROUP_CHARS or len(texts) >= BLOCK_DOCS:
+            yield names, texts
+            names, texts, chars = [], [], 0
+    if texts:
+        yield names, texts
+
+
 def write(docs: DataFrame, path: str, folder: str, end: int | None = None) -> None:
     """Encode docs(doc_id, text) and write a store into folder.
 
@@ -263,9 +303,8 @@ def write(docs: DataFrame, path: str, folder: str, end: int | None = None) -> No
             block, names, ids, size = block + 1, [], [], 0
             return row
 
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for d, x in zip(batch.column("doc_id").to_pylist(), encode_texts(path, texts, end)):
+        for doc_ids, texts in gathered(batches):
+            for d, x in zip(doc_ids, encode_texts(path, texts, end)):
                 names.append(d)
                 ids.append(x)
                 size += len(x)

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from codeloom.llm import bpe, token_store
 from hypothesis import given, settings
@@ -97,6 +98,60 @@ def test_blocks_close_without_ids(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, token_store.read(spark, folder).collect())) == [(i, 0, 0, 0) for i in range(200)]
 
 
+@pytest.fixture(scope="module")
+def word_library():
+    return Tokenizer.from_file(WORD)
+
+
+SIGNED = ["word", "Été", "über", "ªº", "µ", "don't", "it's", "'", "n", "e\u0301", "E\u0301t", "\u0301", "ſ", "ß", "中", "%%%", "&&&", "$$", "###", "*", ".%%%", ".", "...", "!?", "(", "|", "<|endoftext|>", "<|ENDOFTEXT|>.", "7", " ", " ", "\n", "\t", "\xa0", "\u0338"]
+
+
+@given(text=st.lists(st.sampled_from(SIGNED), max_size=40).map("".join))
+@settings(max_examples=600, deadline=None)
+def test_words_and_signs_equal_the_library(word_library, text):
+    assert token_store.encode_texts(WORD, [text], None)[0].tolist() == word_library.encode(text, add_special_tokens=False).ids
+
+
+def test_the_library_sees_a_word_once_whatever_signs_follow(monkeypatch):
+    encoder, library = token_store.PieceEncoder(WORD), Tokenizer.from_file(WORD)
+    rng = random.Random(0)
+    words = ["".join(rng.choices("abcdeéöñ", k=rng.randrange(1, 12))) for _ in range(1000)]
+    texts = [" ".join(w + s for w in words) for s in ("", ".", "%%%", ".&&&", "!!", "$$$", " ***")]
+    assert [x.tolist() for x in encoder.encode(texts, None)] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(encoder.known) == {*words, ".", "%%%", ".&&&", "!!", "$$$", "***"}
+    seen = []
+
+    class Counted:
+        encode_batch = lambda self, texts, **more: seen.extend(texts) or library.encode_batch(texts, **more)
+        encode_batch_fast = lambda self, texts, **more: seen.extend(texts) or library.encode_batch_fast(texts, **more)
+
+    again = token_store.PieceEncoder(WORD)
+    monkeypatch.setattr(again, "tokenizer", Counted())
+    again.encode(texts, None)
+    assert again.known == encoder.known and len(seen) < len(set(words)) / 50
+
+
+def test_special_tokens_that_cuts_could_break():
+    import json
+
+    with open(WORD, encoding="utf-8") as f:
+        spec = json.load(f)
+    assert token_store.cuts_at_blanks(spec)
+    for content in ("end of", "<e. >", "<a%>", "END", "fin\n"):
+        assert not token_store.cuts_at_blanks(spec | {"added_tokens": [spec["added_tokens"][0] | {"content": content}]})
+
+
+def test_batches_are_gathered(monkeypatch):
+    monkeypatch.setattr(token_store, "GROUP_CHARS", 100)
+    monkeypatch.setattr(token_store, "BLOCK_DOCS", 50)
+    for texts in ([f"{i} " * (i % 9) for i in range(97)], [None, ""] * 60, ["x" * 300], []):
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(i, i + len(t)), pa.int64()), pa.array(t, pa.string())], ["doc_id", "text"]) for i in range(0, len(texts), 7) if (t := texts[i : i + 7])]
+        groups = list(token_store.gathered(iter(batches)))
+        assert [(d, t) for ds, ts in groups for d, t in zip(ds, ts)] == [(i, t or "") for i, t in enumerate(texts)]
+        assert all(len(ts) <= 50 + 6 and len("".join(ts[:-7])) < 100 for _, ts in groups)
+        assert len(groups) <= 1 + max(len("".join(t or "" for t in texts)) // 100, len(texts) // 50)
+
+
 def test_other_tokenizers_encode_whole_texts():
     library = Tokenizer.from_file(BYTE)
     texts = ["Some  Text, with\n\nblanks ", "", "<|endoftext|> I'll"]
